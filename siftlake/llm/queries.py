@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license_scan, secret_scan, toxicity, viterbi
+from . import decontam, langid, license_scan, ngram_join, secret_scan, toxicity, viterbi
 from .textkit import table
 
 
@@ -30,5 +30,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_secret_scan, op5_license_scan, op6_sentencepiece, op7_toxicity)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_secret_scan, op5_license_scan, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard_join, op9_decontamination)}
 ORACLE: dict[str, str] = {}
