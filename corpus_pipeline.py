@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import secret_scan, toxicity, viterbi
+from siftlake.llm import decontam, ngram_join, secret_scan, toxicity, viterbi
 from siftlake.llm.textkit import table
 
 ORACLE_SQL = None
@@ -19,6 +19,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs)
 
@@ -27,7 +35,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return viterbi.encode(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("secret scans", mask_secrets), ("sentencepiece", encode)]
+STAGES = [("toxicity", drop_toxic), ("n-gram jaccard join", drop_copies), ("benchmark decontamination", drop_leaks), ("secret scans", mask_secrets), ("sentencepiece", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
