@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license_scan, ngram_join, secret_scan, toxicity, viterbi
+from . import decontam, langid, license_scan, ngram_join, pii, secret_scan, topk, toxicity, viterbi
 from .textkit import table
 
 
@@ -13,6 +13,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,28 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_secret_scan, op5_license_scan, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard_join, op9_decontamination)}
-ORACLE: dict[str, str] = {}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_exact_topk, op4_secret_scan, op5_license_scan, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard_join, op9_decontamination, op10_pii)}
+ORACLE: dict[str, str] = {
+    "op3_exact_topk": """
+        with pairs as (
+            select a.vec_id, b.vec_id as neighbour, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as product
+            from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+        ranked as (select *, row_number() over (partition by vec_id order by product desc, neighbour) as rank from pairs)
+        select vec_id, neighbour, product, rank::int as rank from ranked where rank <= 10""",
+    "op8_ngram_jaccard_join": r"""
+        with words as (select doc_id, regexp_extract_all(lower(text), '(?:[0-9a-z_]|[^\x00-\x7F])+') as w from documents where doc_id is not null and text is not null),
+        grams as (
+            select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end)) as g
+            from words where len(w) > 0),
+        sets as (select g, min(doc_id) as rep, len(any_value(g)) as m from grams group by g),
+        copies as (select s.rep as doc_a, d.doc_id as doc_b, 1.0::double as jaccard from grams d join sets s using (g) where s.rep < d.doc_id),
+        tokens as (select rep, m, unnest(g) as token from sets),
+        pairs as (
+            select a.rep as doc_a, b.rep as doc_b, count(*)::double / (any_value(a.m) + any_value(b.m) - count(*)) as jaccard
+            from tokens a join tokens b on a.token = b.token and a.rep < b.rep group by a.rep, b.rep)
+        select * from copies union all select * from pairs where jaccard >= 0.5""",
+}
