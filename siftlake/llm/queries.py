@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license_scan, ngram_join, pii, secret_scan, topk, toxicity, viterbi
+from . import decontam, langid, license_scan, ngram_join, pii, secret_scan, token_store, topk, toxicity, viterbi
 from .textkit import table
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -46,7 +50,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_exact_topk, op4_secret_scan, op5_license_scan, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard_join, op9_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_language_id, op3_exact_topk, op4_secret_scan, op5_license_scan, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard_join, op9_decontamination, op10_pii)}
 ORACLE: dict[str, str] = {
     "op3_exact_topk": """
         with pairs as (
