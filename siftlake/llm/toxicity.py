@@ -28,7 +28,7 @@ TRAIN_ROWS = 12_000
 BITS = 20
 GRADES = 4
 #: A feature is kept if it stands in so many toxic rows at least and its log odds are so many standard errors from 0.
-MIN_ROWS, MIN_Z = 5, 5.0
+MIN_ROWS, MIN_Z = 4, 3.5
 #: Expected severity from which a document is rejected.
 REJECT = 0.5
 SCHEMA = "doc_id bigint, severity double, grade int, toxic boolean"
