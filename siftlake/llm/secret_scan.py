@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -74,6 +75,7 @@ class Pair(NamedTuple):
     name: str
     literal: str
     kind: str
+    uses: tuple[int, ...] = ()  # the pairs whose constants it took
 
 
 class Finding(NamedTuple):
@@ -120,10 +122,15 @@ def _unquote(s: str) -> str:
 def lex(text: str) -> list[Pair]:
     """Name-literal pairs in text order, with constants propagated."""
     pairs: list[Pair] = []
-    symbols: dict[str, str] = {}
+    symbols: dict[str, int] = {}
+    uses: list[int] = []
 
     def put(m: re.Match) -> str:
-        return symbols.get(next(g for g in m.groups() if g), m.group())
+        name = next(g for g in m.groups() if g)
+        if name not in symbols:
+            return m.group()
+        uses.append(symbols[name])
+        return pairs[symbols[name]].literal
 
     done = 0
     for op in _OPERATOR.finditer(text):
@@ -147,6 +154,7 @@ def lex(text: str) -> list[Pair]:
         while text[end : end + 1] in (" ", "\t"):
             end += 1
         value, first, kind = None, end, "assignment"
+        uses.clear()
         while (term := _TERM.match(text, end)) is not None:
             if term.group("quoted") is not None:
                 piece = _REFERENCE.sub(put, _unquote(term.group("quoted")))
@@ -162,15 +170,16 @@ def lex(text: str) -> list[Pair]:
                 end -= len(piece) - len(trimmed)
                 piece = _REFERENCE.sub(put, trimmed)
                 if _IDENTIFIER.match(piece) and piece in symbols:
-                    piece, kind = symbols[piece], "propagated"
+                    uses.append(symbols[piece])
+                    piece, kind = pairs[symbols[piece]].literal, "propagated"
             value = (value or "") + piece
             joint = _JOIN.match(text, end)
             if joint is None or joint.end() == end:
                 break
             kind, end = "propagated", joint.end()
         if value:
-            symbols[target] = value
-            pairs.append(Pair(first, end, target, value, kind))
+            symbols[target] = len(pairs)
+            pairs.append(Pair(first, end, target, value, kind, tuple(uses)))
             done = end if kind == "propagated" or text[first : first + 1] in "\"'`" else at + 1
     if "<" in text:
         pairs += [Pair(m.start(2), m.end(2), m.group(1), m.group(2), "tag") for m in _TAG.finditer(text)]
@@ -190,19 +199,26 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[Finding]:
     """The findings of a text in text order, without overlaps."""
     found = []
     if ":" in text or "=" in text or "<" in text or "-" in text or "earer" in text:
-        for p in lex(text):
+        pairs = lex(text)
+        for p in pairs:
             if (s := sensitivity(p.name)) and p.kind == "pem":
                 found.append(Finding(p.start, p.end, p.name, "pem", p.literal, 1.0))
             elif s and (score := s * material(p.literal)) >= threshold:
                 found.append(Finding(p.start, p.end, p.name, p.kind, p.literal, score))
+                for q in map(pairs.__getitem__, p.uses):  # the constant that the secret is, or begins with
+                    if material(q.literal) > 0:
+                        found.append(Finding(q.start, q.end, q.name, "constant", q.literal, score))
     for kind, score, shape in SHAPES:
         if any(k in text for k in SHAPE_KEYS[kind]):
             found += [Finding(m.start(), m.end(), "", kind, m.group(), score) for m in shape.finditer(text)]
     taken: list[Finding] = []
-    for f in sorted(found, key=lambda f: (-f.score, f.start - f.end, f.start)):
-        if all(f.end <= t.start or f.start >= t.end for t in taken):
-            taken.append(f)
-    return sorted(taken)
+    starts: list[int] = []
+    for f in sorted(set(found), key=lambda f: (-f.score, f.start - f.end, f.start)):
+        k = bisect(starts, f.start)
+        if (not k or taken[k - 1].end <= f.start) and (k == len(taken) or taken[k].start >= f.end):
+            starts.insert(k, f.start)
+            taken.insert(k, f)
+    return taken
 
 
 def masked(text: str, threshold: float = THRESHOLD) -> str:
