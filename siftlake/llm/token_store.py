@@ -31,7 +31,7 @@ from .textkit import clean_text
 
 BLOCK = 8192
 #: Blocks that are coded side by side.
-LANES = 512
+LANES = 1024
 #: Blocks that are modelled at once; their arrays fit into a processor's cache.
 _ROWS = 8
 VOCABULARY = 50_257
@@ -143,29 +143,30 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int = VOCABULARY) -> lis
         cumulative[:, r : r + _ROWS], frequency[:, r : r + _ROWS] = c.T, f.T
     out = np.zeros((3 * n + 8, rows), np.uint16)
     low, span, at = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64), np.zeros(rows, np.int64)
-    bits, word, keep, flat, lanes = np.uint64(_BITS), np.uint64(16), _LOW - np.uint64(1), out.reshape(-1), np.arange(rows)
+    bits, word, top, keep, flat, lanes = np.uint64(_BITS), np.uint64(16), np.uint64(48), _LOW - np.uint64(1), out.reshape(-1), np.arange(rows)
     with np.errstate(over="ignore"):
         for t in range(n):
             span >>= bits
             low += cumulative[t] * span
             span *= frequency[t]
-            while True:
-                go = (low ^ (low + span)) < _TOP
-                tight = span < _LOW
-                go |= tight
-                k = np.flatnonzero(go)
-                if not len(k):
-                    break
-                v = low[k]
-                s = span[k]
+            go = (low ^ (low + span)) < _TOP
+            go |= span < _LOW
+            k = go.nonzero()[0]
+            while k.size:
+                v, s = low.take(k), span.take(k)
                 cut = s < _LOW
                 if cut.any():
                     cut &= (v ^ (v + s)) >= _TOP
                     s[cut] = (np.uint64(0) - v[cut]) & keep
-                flat[at[k] * rows + lanes[k]] = v >> np.uint64(48)
-                at[k] += 1
-                low[k] = v << word
-                span[k] = s << word
+                where = at.take(k)
+                flat[where * rows + k] = v >> top
+                at[k] = where + 1
+                v <<= word
+                s <<= word
+                low[k] = v
+                span[k] = s
+                v ^= v + s
+                k = k[(v < _TOP) | (s < _LOW)]
         for _ in range(4):
             flat[at * rows + lanes] = low >> np.uint64(48)
             at += 1
