@@ -20,11 +20,11 @@ distinct set; a document is no partner of itself. Extra columns are ignored or,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +33,9 @@ from .textkit import batch_words, clean_text, gram_hashes, map_rows, mix, persis
 N = 3
 THRESHOLD = 0.5
 SKETCH = 32
-GROUP = 256
+GROUP = 1024
 #: Ids that are sent to all tasks at most; beyond that, a join by id.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 SCHEMA = "doc_a bigint, doc_b bigint, jaccard double"
 
 
@@ -48,6 +48,13 @@ def gram_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(gram_hashes(words, n).view(np.int64))
 
 
+def _fingerprint(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes."""
+    u = grams.view(np.uint64)
+    with np.errstate(over="ignore"):
+        return int(u.sum(dtype=np.uint64).astype(np.int64)), int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _columns(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(clean_text("text")).alias("text")]
 
@@ -57,72 +64,167 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, fa, fb, ms, parts = [], [], [], [], []
-        with np.errstate(over="ignore"):
-            for i, words in batch_words(batch.column(1)):
-                g = gram_set(words, n)
-                if len(g):
-                    u = g.view(np.uint64)
-                    rows.append(i)
-                    fa.append(u.sum(dtype=np.uint64))
-                    fb.append(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                    ms.append(len(g))
-                    parts.append(g[:SKETCH])
+        for i, words in batch_words(batch.column(1)):
+            g = gram_set(words, n)
+            if len(g):
+                a, b = _fingerprint(g)
+                rows.append(i)
+                fa.append(a)
+                fb.append(b)
+                ms.append(len(g))
+                parts.append(g[:SKETCH])
         if rows:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.array(fa).view(np.int64)), pa.array(np.array(fb).view(np.int64)), pa.array(ms, pa.int32()), lists], ["doc_id", "fa", "fb", "m", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(ms, pa.int32()), lists], ["doc_id", "fa", "fb", "m", "sketch"])
 
     return map_rows(docs.where(F.col("doc_id").isNotNull()), _columns(docs), "doc_id bigint, fa bigint, fb bigint, m int, sketch array<bigint>", run)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(rep, fa, fb, grams) of the documents among ids (rep, fa, fb); grams: sorted 64-bit hashes as bytes."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(gid, rep, role, grams) for the wanted (rep, places: array of fa, fb, m, gid, role); grams: sorted 64-bit hashes as bytes."""
+
+    def emit(out: list[tuple]) -> pa.RecordBatch:
+        gid, rep, role, g = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(rep, pa.int64()), pa.array(role, pa.int32()), pa.array(g, pa.binary())], ["gid", "rep", "role", "grams"])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        with np.errstate(over="ignore"):
-            for i, words in batch_words(batch.column(1)):
-                g = gram_set(words, n)
-                u = g.view(np.uint64)
-                out.append((i, u.sum(dtype=np.uint64), mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), g.tobytes()))
-                if len(out) >= 500:
-                    yield emit(batch, out)
-                    out = []
+        ids, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for i, words in batch_words(batch.column(1)):
+            g = gram_set(words, n)
+            own = (*_fingerprint(g), len(g))
+            # a row that repeats an id with another text is not what is asked for
+            out += [(p["gid"], ids[i], p["role"], g.tobytes()) for p in places[i] if (p["fa"], p["fb"], p["m"]) == own]
+            if len(out) >= 500:
+                yield emit(out)
+                out = []
         if out:
-            yield emit(batch, out)
-
-    def emit(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
-        at, a, b, g = zip(*out)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.array(a).view(np.int64)), pa.array(np.array(b).view(np.int64)), pa.array(g, pa.binary())], ["rep", "fa", "fb", "grams"])
-
-    named = ids.select(F.col("rep").alias("doc_id")).distinct()
-    named = F.broadcast(named) if ids.count() <= BROADCAST_IDS else named
-    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
-    sets = map_rows(texts, _columns(docs), "rep bigint, fa bigint, fb bigint, grams binary", run)
-    return sets.dropDuplicates(["rep", "fa", "fb"])
-
-
-def _open(members: pd.DataFrame, queries: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Exact pairs of an opened group: a query and a member that sorts before it."""
-    out: list[tuple[int, int, float]] = []
-    if len(members) and len(queries):
-        sets = [np.frombuffer(g, np.int64) for g in members["grams"]]
-        size, rep = np.array([len(s) for s in sets]), members["rep"].to_numpy()
-        order = np.argsort(flat := np.concatenate(sets), kind="stable")
-        owner = np.repeat(np.arange(len(sets)), size)[order]
-        tokens, first, count = np.unique(flat[order], return_index=True, return_counts=True)
-        for q, grams in zip(queries["query"], queries["asked"]):
-            g = np.frombuffer(grams, np.int64)
-            at = np.minimum(np.searchsorted(tokens, g), len(tokens) - 1)
-            at = at[tokens[at] == g]
-            n = count[at]
-            ends = np.cumsum(n)
-            where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - n), n)
-            both = np.bincount(owner[where], minlength=len(sets))
-            j = both / (size + len(g) - both)
-            for k in np.flatnonzero((j >= threshold) & (rep < q)):
-                out.append((int(rep[k]), int(q), float(j[k])))
-    return pd.DataFrame(out, columns=["doc_a", "doc_b", "jaccard"])
+            yield emit(out)
+
+    wanted = persist_shared(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    columns = [F.col("rep").cast("bigint").alias("rep"), F.lower(clean_text("text")).alias("text"), F.col("places")]
+    return map_rows(texts, columns, "gid bigint, rep bigint, role int, grams binary", run)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists, or of 64-bit integers as bytes."""
+    if pa.types.is_binary(lists.type):
+        offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+        data = lists.buffers()[2]
+        return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(np.int64) if data is not None else np.zeros(0, np.int64)), (offsets - offsets[0]) // 8
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy(), offsets - offsets[0]
+
+
+class _Members:
+    """Members of an opened group, by n-gram."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows = rows
+        flat, offsets = _flat(rows.column("grams").combine_chunks())
+        self.n = rows.num_rows
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(self.n), np.diff(offsets))[order]
+        self.tokens, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def overlaps(self, lists: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(first query, overlaps of queries and members), some queries at a time."""
+        flat, offsets = _flat(lists)
+        at = np.minimum(np.searchsorted(self.tokens, flat), len(self.tokens) - 1)
+        hit = self.tokens[at] == flat
+        n = np.where(hit, self.count[at], 0)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        a = 0
+        while a < len(lists):
+            b = a + 1
+            while b < len(lists) and ends[offsets[b + 1]] - ends[offsets[a]] <= 1 << 20 and (b - a) * self.n < 1 << 20:
+                b += 1
+            k = slice(offsets[a], offsets[b])
+            total = ends[offsets[b]] - ends[offsets[a]]
+            where = np.arange(total) + np.repeat(self.first[at[k]] - (ends[offsets[a] : offsets[b]] - ends[offsets[a]]), n[k])
+            query = np.repeat(np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), n[k])
+            yield a, np.bincount(query * self.n + self.owner[where], minlength=(b - a) * self.n).reshape(b - a, self.n)
+            a = b
+
+
+#: What a row is in a group: bits of a sum.
+MEMBER, ASKER = 1, 2
+
+
+def _by_group(rows: DataFrame, fn: Callable[[_Members, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn of each group's members and its queries, a batch of queries at a time; rows have gid, role and grams.
+
+    Groups follow one another in a partition, members first, so a task holds one group's members only.
+    """
+    rows = rows.repartition("gid").withColumn("late", F.col("role") == ASKER).sortWithinPartitions("gid", "late").drop("late")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, group = None, [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """All members are there: those that ask come first."""
+            nonlocal parts, group
+            if parts:
+                group, parts = _Members(pa.concat_tables(parts)), []
+                both = group.rows.filter(pa.compute.equal(group.rows.column("role"), MEMBER + ASKER))
+                if both.num_rows:
+                    yield from fn(group, both)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid, late = batch.column("gid").to_numpy(), batch.column("role").to_numpy() == ASKER
+            edges = np.flatnonzero((gid[1:] != gid[:-1]) | (late[1:] != late[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(gid)]):
+                if gid[a] != here:
+                    yield from close()
+                    here, parts, group = gid[a], [], None
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if not late[a]:
+                    parts.append(part)
+                else:
+                    yield from close()
+                    if group is not None:
+                        yield from fn(group, part)
+        yield from close()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _promising(threshold: float) -> Callable[[_Members, pa.Table], Iterator[pa.RecordBatch]]:
+    """(a, a_rep, b): pairs of sets in a group that are similar as far as sketches tell, the lesser id first."""
+
+    def fn(group: _Members, queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        m, rep, sid = (group.rows.column(c).to_numpy() for c in ("m", "rep", "sid"))
+        qm, query, asker = (queries.column(c).to_numpy() for c in ("m", "rep", "sid"))
+        for a, both in group.overlaps(queries.column("grams").combine_chunks()):
+            k = slice(a, a + len(both))
+            fits = (both >= np.maximum(1, np.minimum(qm[k], SKETCH) // 4)[:, None]) & (rep < query[k, None]) & (m >= threshold * qm[k, None]) & (qm[k, None] >= threshold * m)
+            q, i = np.nonzero(fits)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(rep[i]), pa.array(asker[a + q])], ["a", "a_rep", "b"])
+
+    return fn
+
+
+def _pairs(threshold: float) -> Callable[[_Members, pa.Table], Iterator[pa.RecordBatch]]:
+    """Exact pairs of an opened group: a query and a member of lesser id."""
+
+    def fn(group: _Members, queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        size, rep = np.bincount(group.owner, minlength=group.n), group.rows.column("rep").to_numpy()
+        lists, query = queries.column("grams").combine_chunks(), queries.column("rep").to_numpy()
+        qsize = np.diff(_flat(lists)[1])
+        for a, both in group.overlaps(lists):
+            k = slice(a, a + len(both))
+            j = both / (size + qsize[k, None] - both)
+            q, i = np.nonzero((j >= threshold) & (rep < query[k, None]))
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(query[a + q]), pa.array(j[q, i])], ["doc_a", "doc_b", "jaccard"])
+
+    return fn
 
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -131,39 +233,45 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     A document whose set another one has too is in one row, with the least id that has the set, and jaccard 1. The least ids of
     two distinct sets are in a row if their index is at least the threshold; so other pairs follow from these.
     """
-    spark = docs.sparkSession
     marked = persist_shared(sketches(docs, n))
     key = ["fa", "fb", "m"]
     least = Window.partitionBy(*key)
     copies = marked.select("doc_id", *key).distinct().withColumn("rep", F.min("doc_id").over(least)).where("rep < doc_id").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    # one row a distinct set; sets of the same least id (repeated ids) differ in their fingerprints
-    distinct = marked.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
-    tokens = distinct.select("rep", *key, F.size("sketch").alias("n"), F.explode("sketch").alias("token"))
+    distinct = persist_shared(marked.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")).select(F.xxhash64(*key).alias("sid"), *key, "rep", "sketch"))
+    kept = F.least(F.col("m"), F.lit(SKETCH))  # size of a set's sketch
+    tokens = distinct.select(F.explode("sketch").alias("token"), "sid")
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(counts, "token").groupBy("rep", *key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    shared = shared.where(F.size("shared") >= needed(F.col("n")))
+    shared = tokens.join(counts, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    shared = shared.join(distinct.select("sid", "rep", "m"), "sid").where(F.size("shared") >= needed(kept))
     # the most frequent ones that a partner's share doesn't hang on are spared
-    sets = shared.select("rep", *key, "n", F.transform("shared", lambda s: s["token"]).alias("all"), F.size("shared").alias("k"))
-    sets = persist_shared(sets.withColumn("probe", F.slice("all", 1, F.greatest(F.lit(1), F.col("k") - needed(F.col("n")) + 1))).withColumn("home", F.array_min("all")).drop("k"))
+    sets = shared.select("sid", "rep", "m", F.transform("shared", lambda s: s["token"]).alias("all"))
+    sets = sets.withColumn("probe", F.slice("all", 1, F.greatest(F.lit(1), F.size("all") - needed(kept) + 1))).withColumn("home", F.array_min("all"))
     # groups: by home, in pieces of GROUP members
-    grouped = sets.withColumn("piece", ((F.row_number().over(Window.partitionBy("home").orderBy("rep", "fa", "fb")) - 1) / GROUP).cast("int")).withColumn("gid", F.xxhash64("home", "piece"))
-    members = persist_shared(grouped.select("gid", "rep", *key, "all", "probe"))
+    piece = ((F.row_number().over(Window.partitionBy("home").orderBy("rep", "sid")) - 1) / GROUP).cast("int")
+    members = persist_shared(sets.withColumn("gid", F.xxhash64("home", piece)).drop("home"))
     matrix = members.groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("all"))).alias("union"), F.min("rep").alias("low"), F.min("m").alias("m_low"), F.max("m").alias("m_high"))
     entries = members.select("gid", F.explode("probe").alias("token")).distinct()
-    met = sets.select("rep", "fa", "fb", F.explode("probe").alias("token")).join(entries, "token").select("rep", "fa", "fb", "gid").distinct()
+    met = members.select("sid", F.explode("probe").alias("token")).join(entries, "token").select("sid", "gid").distinct()
     opened = (
-        met.join(sets.select("rep", *key, "n", "all"), ["rep", "fa", "fb"])
+        met.join(members.select("sid", "rep", "m", "all", F.col("gid").alias("own")), "sid")
+        .where("gid <> own")
         .join(matrix, "gid")
         .where((F.col("low") < F.col("rep")) & (F.col("m_high") >= F.col("m") * threshold) & (F.col("m_low") * threshold <= F.col("m")))
-        .where(F.size(F.array_intersect("all", "union")) >= needed(F.col("n")))
-        .select("gid", "rep", "fa", "fb")
+        .where(F.size(F.array_intersect("all", "union")) >= needed(kept))
     )
-    opened = persist_shared(opened)
-    used = persist_shared(_sets(docs, sets.select("rep"), n))
-    inside = members.join(opened.select("gid").distinct(), "gid", "left_semi").select("gid", "rep", "fa", "fb").join(used, ["rep", "fa", "fb"]).select("gid", "rep", "grams")
-    asking = opened.join(used, ["rep", "fa", "fb"]).select(F.col("gid").alias("group"), F.col("rep").alias("query"), F.col("grams").alias("asked"))
-    pairs = inside.groupBy("gid").cogroup(asking.groupBy("group")).applyInPandas(lambda a, b: _open(a, b, threshold), SCHEMA)
-    # ids that repeat can name the same pair by several of their sets: the greatest index counts
+    # each set asks its own group too
+    rows = members.withColumn("role", F.lit(MEMBER + ASKER)).select("gid", "role", "sid", "rep", "m", F.col("all").alias("grams")).unionByName(opened.withColumn("role", F.lit(ASKER)).select("gid", "role", "sid", "rep", "m", F.col("all").alias("grams")))
+    near = persist_shared(_by_group(rows, _promising(threshold), "a bigint, a_rep bigint, b bigint"))
+    # anew into groups, by the first set that is near: all of a family, so that few full sets go to more than one group
+    first = near.groupBy("b").agg(F.min(F.struct("a_rep", "a"))["a"].alias("label")).withColumnRenamed("b", "a")
+    heads = near.select("a", "a_rep").distinct().join(first, "a", "left").withColumn("label", F.coalesce("label", "a"))
+    piece = ((F.row_number().over(Window.partitionBy("label").orderBy("a_rep", "a")) - 1) / GROUP).cast("int")
+    heads = heads.select("a", F.xxhash64("label", piece).alias("gid"))
+    asked = near.select("a", "b").join(heads, "a").select("gid", F.col("b").alias("sid")).distinct()
+    sides = heads.select("gid", F.col("a").alias("sid"), F.lit(MEMBER).alias("role")).unionByName(asked.withColumn("role", F.lit(ASKER))).groupBy("gid", "sid").agg(F.sum("role").cast("int").alias("role"))
+    places = sides.join(distinct.drop("sketch"), "sid").groupBy("rep").agg(F.collect_list(F.struct("fa", "fb", "m", "gid", "role")).alias("places"))
+    pairs = _by_group(_sets(docs, places, n), _pairs(threshold), SCHEMA)
+    # rows that repeat an id can name the same pair more than once: the greatest index counts
     return copies.unionByName(pairs).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
