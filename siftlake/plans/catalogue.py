@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from ..functions import vectors as V
 from ..operators import contamination, dedup, models, quality, retention, similarity, store
 from ..sources import synthetic
 from ..sources.tables import embedding_cache_key, stratified_sample, table, with_cached_embeddings
+from ..streaming.dedup import distinct, run_to_table, source
+from .lineage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -636,13 +639,7 @@ def model_accuracy(spark, d):
 @query("select count(distinct text) as kept from documents")
 def stream_dedup(spark, d):
     """The documents as a stream that is read to its end, deduplicated with state; the kept rows are counted from what was written."""
-    import uuid
-
-    from ..plans.lineage import cut
-    from ..streaming.dedup import distinct, run_to_table, source
-
-    cut(spark.range(1))  # so that there is a shared folder
-    at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     whole = docs(spark, d)
     stream = source(spark, f"{d}/documents.parquet", whole.schema).select("doc_id", "text")
     run_to_table(distinct(stream, DOC).select("doc_id", "object_id"), f"{at}/rows", f"{at}/state")

@@ -281,3 +281,20 @@ def test_word_pieces(spark):
     assert [r.i for r in got] == [[101, 1, 2, 4, 3, 5, 100, 102], [101, 102], [101, 102], [101] + [3] * 6 + [102]]
     v = spark.createDataFrame([("a",), ("a",), ("b",)], "t string").select(V.seeded_embedder(16)("t").alias("v")).collect()
     assert v[0].v == v[1].v != v[2].v and sum(x * x for x in v[0].v) == pytest.approx(1, abs=1e-5)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siftlake.__main__ import main
+
+    def run(*args):
+        code = main([str(tmp_path / "s"), *args])
+        return code, capsys.readouterr().out.split()
+
+    run("put", "a", "x" * 10)
+    run("put", "b", "x" * 10)
+    run("put", "c", "other")
+    assert run("get", "b") == (0, ["x" * 10]) and run("get", "zz")[0] == 1
+    assert run("count")[1] == ["3"] and run("keys", "--prefix", "b")[1] == ["b"]
+    run("del", "c")
+    assert run("keys")[1] == ["a", "b"]
+    assert run("evict", "0")[1] == ["1"] and run("count")[1] == ["0"]
