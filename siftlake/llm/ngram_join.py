@@ -130,6 +130,12 @@ class _Members:
         self.owner = np.repeat(np.arange(self.n), np.diff(offsets))[order]
         self.tokens, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
 
+    def bound(self, lists: pa.Array) -> np.ndarray:
+        """N-grams of each query that any member has."""
+        flat, offsets = _flat(lists)
+        hit = self.tokens[np.minimum(np.searchsorted(self.tokens, flat), len(self.tokens) - 1)] == flat
+        return np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
+
     def overlaps(self, lists: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(first query, overlaps of queries and members), some queries at a time."""
         flat, offsets = _flat(lists)
@@ -200,7 +206,11 @@ def _promising(threshold: float) -> Callable[[_Members, pa.Table], Iterator[pa.R
     def fn(group: _Members, queries: pa.Table) -> Iterator[pa.RecordBatch]:
         m, rep, sid = (group.rows.column(c).to_numpy() for c in ("m", "rep", "sid"))
         qm, query, asker = (queries.column(c).to_numpy() for c in ("m", "rep", "sid"))
-        for a, both in group.overlaps(queries.column("grams").combine_chunks()):
+        # the group is opened for queries whose overlap with the union of its sketches reaches what a partner needs
+        lists = queries.column("grams").combine_chunks()
+        reach = np.flatnonzero(group.bound(lists) >= np.maximum(1, np.minimum(qm, SKETCH) // 4))
+        qm, query, asker = qm[reach], query[reach], asker[reach]
+        for a, both in group.overlaps(lists.take(pa.array(reach))):
             k = slice(a, a + len(both))
             fits = (both >= np.maximum(1, np.minimum(qm[k], SKETCH) // 4)[:, None]) & (rep < query[k, None]) & (m >= threshold * qm[k, None]) & (qm[k, None] >= threshold * m)
             q, i = np.nonzero(fits)
@@ -249,18 +259,14 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     # groups: by home, in pieces of GROUP members
     piece = ((F.row_number().over(Window.partitionBy("home").orderBy("rep", "sid")) - 1) / GROUP).cast("int")
     members = persist_shared(sets.withColumn("gid", F.xxhash64("home", piece)).drop("home"))
-    matrix = members.groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("all"))).alias("union"), F.min("rep").alias("low"), F.min("m").alias("m_low"), F.max("m").alias("m_high"))
-    entries = members.select("gid", F.explode("probe").alias("token")).distinct()
-    met = members.select("sid", F.explode("probe").alias("token")).join(entries, "token").select("sid", "gid").distinct()
-    opened = (
-        met.join(members.select("sid", "rep", "m", "all", F.col("gid").alias("own")), "sid")
-        .where("gid <> own")
-        .join(matrix, "gid")
-        .where((F.col("low") < F.col("rep")) & (F.col("m_high") >= F.col("m") * threshold) & (F.col("m_low") * threshold <= F.col("m")))
-        .where(F.size(F.array_intersect("all", "union")) >= needed(kept))
-    )
-    # each set asks its own group too
-    rows = members.withColumn("role", F.lit(MEMBER + ASKER)).select("gid", "role", "sid", "rep", "m", F.col("all").alias("grams")).unionByName(opened.withColumn("role", F.lit(ASKER)).select("gid", "role", "sid", "rep", "m", F.col("all").alias("grams")))
+    # the matrix's sparse rows (group, n-gram), with what a group's members span
+    spans = members.groupBy("gid").agg(F.min("rep").alias("low"), F.min("m").alias("m_low"), F.max("m").alias("m_high"))
+    entries = members.select("gid", F.explode("probe").alias("token")).distinct().join(spans, "gid")
+    asking = members.select("sid", "rep", "m", F.col("gid").alias("own"), F.explode("probe").alias("token"))
+    met = asking.join(entries, "token").where((F.col("gid") != F.col("own")) & (F.col("low") < F.col("rep")) & (F.col("m_high") >= F.col("m") * threshold) & (F.col("m_low") * threshold <= F.col("m"))).select("sid", "gid").distinct()
+    # 32 bits tell n-grams of sketches apart well enough; each set asks its own group too
+    sketch = F.transform("all", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("grams")
+    rows = members.select("gid", F.lit(MEMBER + ASKER).alias("role"), "sid", "rep", "m", sketch).unionByName(met.join(members.select("sid", "rep", "m", sketch), "sid").withColumn("role", F.lit(ASKER)))
     near = persist_shared(_by_group(rows, _promising(threshold), "a bigint, a_rep bigint, b bigint"))
     # anew into groups, by the first set that is near: all of a family, so that few full sets go to more than one group
     first = near.groupBy("b").agg(F.min(F.struct("a_rep", "a"))["a"].alias("label")).withColumnRenamed("b", "a")
