@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,17 @@ def build_session(app: str = "siftlake", master: str | None = None, **conf: str)
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package where they wouldn't find it: neither in the folder they start in nor on their path."""
+    root = Path(__file__).resolve().parents[1]
+    found = {Path.cwd().resolve(), *(Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)}
+    if root in found or getattr(spark.sparkContext, "_siftlake_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp()) / "siftlake.zip"  # on the driver, which serves it to all workers
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "siftlake").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._siftlake_shipped = True
