@@ -5,7 +5,7 @@ whole texts are used) and gives a matrix of log probabilities, buckets x languag
 scores all rows: a batch of texts is a sparse matrix in CSR form (indices of n-gram buckets, one entry an occurrence),
 and its product with the matrix gives the scores.
 
-Null, empty and letterless texts have no n-grams: their language is `und` with confidence 0. Ties go to the language that
+Confidence and margin are rounded to 6 digits. Null, empty and letterless texts have no n-grams: their language is `und` with confidence 0. Ties go to the language that
 is first in alphabetical order. Repeated rows are each scored; other columns are ignored, whatever their names.
 """
 
@@ -62,7 +62,7 @@ def buckets(text: str, bits: int = BITS) -> np.ndarray:
 def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
     """About `rows` labelled rows, chosen by a hash of the id: the same ones in each run."""
     labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    share = max(1, docs.count() // rows)
+    share = max(1, -(-docs.count() // rows))
     return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("doc_id", F.col(label).alias("label"), "text").limit(2 * rows)
 
 
@@ -76,7 +76,7 @@ def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, bits: in
         counts[:, at[r.label]] += np.bincount(buckets(r.text, bits), minlength=1 << bits)
         n[at[r.label]] += 1
     logp = np.log(counts + ALPHA) - np.log(counts.sum(0) + ALPHA * (1 << bits))
-    return Model(languages, np.log(n / max(1, n.sum())), logp.astype(np.float32), bits)
+    return Model(languages, np.log(n / max(1, n.sum())), logp, bits)
 
 
 def score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +111,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / np.exp(s - order[:, -1:]).sum(1)
             gap = (order[:, -1] - order[:, -2] if s.shape[1] > 1 else np.zeros(b - a)) / np.maximum(n, 1)
             lang += [m.languages[k] if c else "und" for k, c in zip(s.argmax(1), n)]
-            conf += np.where(n > 0, p, 0.0).tolist()
-            lead += np.where(n > 0, gap, 0.0).tolist()
+            conf += np.where(n > 0, p, 0.0).round(6).tolist()
+            lead += np.where(n > 0, gap, 0.0).round(6).tolist()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(conf, pa.float64()), pa.array(lead, pa.float64())], ["doc_id", "lang", "confidence", "margin"])
 
     return map_rows(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), clean_text("text").alias("text")], SCHEMA, run)

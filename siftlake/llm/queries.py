@@ -51,7 +51,45 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_language_id, op3_exact_topk, op4_secret_scan, op5_license_scan, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard_join, op9_decontamination, op10_pii)}
+_M, _K0, _K1, _K2 = 0xFFFFFFFF, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+
+
+def _step(before: str) -> str:
+    """The hash of one more character."""
+    x = f"((xor({before}, (u * {_K0}) & {_M}) * {_K1}) & {_M})"
+    return f"xor({x}, {x} >> 15)"
+
+
+def _bucket(h: str, k: int) -> str:
+    return f"((((({h} * {_K2}) & {_M}) + {k}) & {_M}) * {_K0} & {_M}) >> {32 - langid.BITS}"
+
+
 ORACLE: dict[str, str] = {
+    # all rows are training rows here, as for any table of at most langid.TRAIN_ROWS
+    "op2_language_id": f"""
+        with ch as (select doc_id, lang, unnest(c) as c, generate_subscripts(c, 1) as i from (select doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '(?s).') as c from documents)),
+        l as (select doc_id, lang, i, unicode(c)::ubigint as u, unicode(c) between 97 and 122 or (unicode(c) >= 170 and unicode(c) not in (215, 247) and not unicode(c) between 8192 and 8303) as ok from ch),
+        p as (select *, lag(ok) over (partition by doc_id order by i) as before, max(ok) over (partition by doc_id) as lettered from l),
+        kept as (select doc_id, lang, i, case when ok then u else 32::ubigint end as u from p where lettered and (before is null or ok or before)),
+        h1 as (select *, {_step("0::ubigint")} as a from kept),
+        l1 as (select *, lag(a) over (partition by doc_id order by i) as a1 from h1),
+        h2 as (select *, {_step("a1")} as b from l1),
+        l2 as (select *, lag(b) over (partition by doc_id order by i) as b1 from h2),
+        h3 as (select *, {_step("b1")} as c from l2),
+        grams as (
+            select doc_id, lang, {_bucket("a", 1)} as g from h3 union all select doc_id, lang, {_bucket("b", 2)} from h3 where b is not null
+            union all select doc_id, lang, {_bucket("c", 3)} from h3 where c is not null),
+        counts as (select lang, g, count(*) as n from grams where lang is not null group by lang, g),
+        langs as (select lang, ln(count(*) / sum(count(*)) over ()) as prior from documents where lang is not null and text is not null group by lang),
+        totals as (select lang, ln(coalesce(sum(n), 0) + {langid.ALPHA * (1 << langid.BITS)}) as total from langs left join counts using (lang) group by lang),
+        own as (select doc_id, g, count(*) as n from grams group by doc_id, g),
+        scores as (
+            select o.doc_id, t.lang, sum(o.n) as n, any_value(l.prior) + sum(o.n * (ln(coalesce(c.n, 0) + {langid.ALPHA}) - t.total)) as s
+            from own o cross join totals t join langs l on l.lang = t.lang left join counts c on c.lang = t.lang and c.g = o.g group by o.doc_id, t.lang),
+        best as (select doc_id, arg_max(lang, s) as lang, max(s) as s, list(s order by s desc) as ss, any_value(n) as n from scores group by doc_id)
+        select d.doc_id, coalesce(b.lang, 'und') as lang, round(coalesce(1 / list_sum(list_transform(ss, lambda x: exp(x - b.s))), 0), 6) as confidence,
+            round(coalesce(case when len(ss) > 1 then (ss[1] - ss[2]) / n else 0 end, 0), 6) as margin
+        from documents d left join best b using (doc_id)""",
     "op3_exact_topk": """
         with pairs as (
             select a.vec_id, b.vec_id as neighbour, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as product
