@@ -32,7 +32,10 @@ def flag(df: DataFrame, cfg: DedupConfig) -> DataFrame:
 
 
 def kept(df: DataFrame, cfg: DedupConfig) -> DataFrame:
-    return flag(df, cfg).where("not is_duplicate").drop("is_duplicate", "original")
+    """Leading rows with object_id; a rank of 1 lets Spark drop most duplicates before the shuffle."""
+    T.validate_columns(df, [cfg.order_column, *(cfg.text_columns or (cfg.text_column,))])
+    w = Window.partitionBy("object_id").orderBy(_order(cfg))
+    return df.withColumn("object_id", T.object_id(value(cfg))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def removed(df: DataFrame, cfg: DedupConfig) -> DataFrame:
