@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes that are handled at once; temporary arrays are a small multiple of this.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows that are handled at once.
+ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +53,12 @@ def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def map_rows(df: DataFrame, columns: list[Column], schema: str, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """fn over each Arrow batch of the given columns."""
+    """fn over the given columns, at most ROWS rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield from fn(batch.slice(at, ROWS))
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -114,20 +116,24 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words_of(data: np.ndarray, most: int = 4 * SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of one text of any length; it is taken in slices that end between words."""
-    if len(data) <= most:
-        starts, ends = word_spans(data)
-        return hash_spans(data, starts, ends), starts, ends
-    parts, at = [], 0
+def word_slices(data: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Starts and ends of slices of one text that end between words; only a longer word makes one longer than `most`."""
+    at = 0
     while at < len(data):
         to = min(at + most, len(data))
         while to < len(data) and _WORD[data[to - 1]] and _WORD[data[to]]:
             to += 1
+        yield at, to
+        at = to
+
+
+def words_of(data: np.ndarray, most: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of one text of any length."""
+    parts = []
+    for at, to in word_slices(data, most) if len(data) else [(0, 0)]:
         starts, ends = word_spans(data[at:to])
         parts.append((hash_spans(data[at:to], starts, ends), starts + at, ends + at))
-        at = to
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

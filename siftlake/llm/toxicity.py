@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import clean_text, hash_spans, map_rows, slices, text_bytes, word_spans, words_of
+from .textkit import clean_text, hash_spans, map_rows, slices, text_bytes, word_slices, word_spans
 
 #: Bound on labelled rows that the model is fitted on.
 TRAIN_ROWS = 12_000
@@ -68,9 +68,12 @@ def features(text: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[i
     for a, b in slices(np.diff(offsets)):
         part, cut = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         if b - a == 1:
-            words, starts, ends = words_of(part)
-            at, h = _buckets(part, starts, ends, words) if len(part) <= 1 << 22 else (np.zeros(0, int), (words >> np.uint64(64 - BITS)).astype(np.int32))
-            yield a, np.unique(h if keep is None else h[keep[h]])
+            found = [np.zeros(0, np.int32)]
+            for at, to in word_slices(part):
+                starts, ends = word_spans(part[at:to])
+                h = _buckets(part[at:to], starts, ends, hash_spans(part[at:to], starts, ends))[1]
+                found.append(np.unique(h if keep is None else h[keep[h]]))
+            yield a, np.unique(np.concatenate(found))
             continue
         spaced = np.zeros(len(part) + b - a, np.uint8)
         spaced[np.arange(len(part)) + np.repeat(np.arange(b - a), np.diff(cut))] = part
@@ -94,7 +97,7 @@ def grade(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, steps: int = 300) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = max(1, labels.count() // rows)
+    share = max(1, -(-labels.count() // rows))
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).join(docs.select("doc_id", F.lower(clean_text("text")).alias("text")), "doc_id").select("toxic", "text").limit(2 * rows).toArrow()
     y = taken.column("toxic").to_numpy().astype(int) > 0
     xs: list[np.ndarray] = []

@@ -328,6 +328,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs, none).where("toxic").count() == 0
 
 
+def test_features_of_long_texts_are_those_of_their_words(monkeypatch):
+    texts = pa.array([LONG.lower(), "zorkish bluggerish", "", LONG.lower() + " bluggerish"])
+    whole = dict(toxicity.features(texts))
+    monkeypatch.setattr(textkit.slices, "__defaults__", (1000,))
+    monkeypatch.setattr(textkit.word_slices, "__defaults__", (1000,))
+    assert all((whole[i] == x).all() for i, x in toxicity.features(texts)) and len(whole[3]) > len(whole[0])
+
+
 def test_ordinal_fit_orders_thresholds_and_grades():
     rng = np.random.default_rng(0)
     x = [np.unique(rng.integers(0, 6, rng.integers(0, 6))).astype(np.int32) for _ in range(800)]
