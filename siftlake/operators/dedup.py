@@ -1,7 +1,7 @@
 """Exact deduplication: equal normalized values share an object; the first row by the order column leads.
 
-Ties of the order column fall to the first by the digest's row order columns given; pass a unique one. Null texts count as empty.
-All operators shuffle once, on the digest, and carry only what the result needs.
+Give a unique order column: which of two rows of equal value and order leads is not defined. Null texts count as empty, and so equal
+each other. All operators shuffle once, on the digest, and carry only what the result needs.
 """
 
 from __future__ import annotations
