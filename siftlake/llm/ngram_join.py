@@ -7,10 +7,11 @@ share too few n-grams with any others to have a partner (`needed`). The remainin
 ones, by their smallest shared n-gram, of at most `GROUP` members; a group's row of the matrix is the union of its members'
 sketches. A query meets a group when they have an n-gram in common that is not among the query's most frequent ones
 (`needed` - 1 of these can be spared), and opens it only if its overlap with the union can reach what a partner needs and
-some member has a fitting size. In opened groups the Jaccard index is exact, over whole texts' n-grams.
+some member has a fitting size. In opened groups sketches are compared one by one. What is near goes into groups anew, by its first near set,
+so that a family is together and its full sets are moved few times; there the Jaccard index is exact, over whole texts' n-grams.
 
-What is missed: two sets with Jaccard index j share Binomial(SKETCH, j) n-grams of their common sample, and `needed` is a quarter
-of the sketch. At the threshold of 0.5 a pair is missed with probability 0.001, at 0.6 with 0.00002, at 0.8 never in practice;
+What is missed: two sets with Jaccard index j share Binomial(SKETCH, j) n-grams of their common sample, and `needed` is half of what is
+expected at the threshold. At a threshold of 0.5 a pair of index 0.5 is missed with probability 0.001, of 0.6 with 0.00002, of 0.8 never in practice;
 pairs of sets that fit into the sketch are never missed by sampling.
 
 Texts are taken in lower case; a word is a run of letters, digits, underscores and non-ASCII characters; a text of fewer than n words has one
@@ -39,9 +40,9 @@ BROADCAST_IDS = 200_000
 SCHEMA = "doc_a bigint, doc_b bigint, jaccard double"
 
 
-def needed(size: Column) -> Column:
-    """N-grams of a sketch of so many that a partner must share."""
-    return F.greatest(F.lit(1), (size / 4).cast("int"))
+def needed(size: Column, threshold: float) -> Column:
+    """N-grams of a sketch of so many that a partner must share: half of what is expected at the threshold."""
+    return F.greatest(F.lit(1), F.floor(size * (threshold / 2)).cast("int"))
 
 
 def gram_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -208,11 +209,11 @@ def _promising(threshold: float) -> Callable[[_Members, pa.Table], Iterator[pa.R
         qm, query, asker = (queries.column(c).to_numpy() for c in ("m", "rep", "sid"))
         # the group is opened for queries whose overlap with the union of its sketches reaches what a partner needs
         lists = queries.column("grams").combine_chunks()
-        reach = np.flatnonzero(group.bound(lists) >= np.maximum(1, np.minimum(qm, SKETCH) // 4))
+        reach = np.flatnonzero(group.bound(lists) >= np.maximum(1, np.floor(np.minimum(qm, SKETCH) * (threshold / 2))))
         qm, query, asker = qm[reach], query[reach], asker[reach]
         for a, both in group.overlaps(lists.take(pa.array(reach))):
             k = slice(a, a + len(both))
-            fits = (both >= np.maximum(1, np.minimum(qm[k], SKETCH) // 4)[:, None]) & (rep < query[k, None]) & (m >= threshold * qm[k, None]) & (qm[k, None] >= threshold * m)
+            fits = (both >= np.maximum(1, np.floor(np.minimum(qm[k], SKETCH) * (threshold / 2)))[:, None]) & (rep < query[k, None]) & (m >= threshold * qm[k, None]) & (qm[k, None] >= threshold * m)
             q, i = np.nonzero(fits)
             if len(q):
                 yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(rep[i]), pa.array(asker[a + q])], ["a", "a_rep", "b"])
@@ -252,10 +253,10 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     tokens = distinct.select(F.explode("sketch").alias("token"), "sid")
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(counts, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    shared = shared.join(distinct.select("sid", "rep", "m"), "sid").where(F.size("shared") >= needed(kept))
+    shared = shared.join(distinct.select("sid", "rep", "m"), "sid").where(F.size("shared") >= needed(kept, threshold))
     # the most frequent ones that a partner's share doesn't hang on are spared
     sets = shared.select("sid", "rep", "m", F.transform("shared", lambda s: s["token"]).alias("all"))
-    sets = sets.withColumn("probe", F.slice("all", 1, F.greatest(F.lit(1), F.size("all") - needed(kept) + 1))).withColumn("home", F.array_min("all"))
+    sets = sets.withColumn("probe", F.slice("all", 1, F.greatest(F.lit(1), F.size("all") - needed(kept, threshold) + 1))).withColumn("home", F.array_min("all"))
     # groups: by home, in pieces of GROUP members
     piece = ((F.row_number().over(Window.partitionBy("home").orderBy("rep", "sid")) - 1) / GROUP).cast("int")
     members = persist_shared(sets.withColumn("gid", F.xxhash64("home", piece)).drop("home"))
@@ -270,7 +271,9 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     near = persist_shared(_by_group(rows, _promising(threshold), "a bigint, a_rep bigint, b bigint"))
     # anew into groups, by the first set that is near: all of a family, so that few full sets go to more than one group
     first = near.groupBy("b").agg(F.min(F.struct("a_rep", "a"))["a"].alias("label")).withColumnRenamed("b", "a")
-    heads = near.select("a", "a_rep").distinct().join(first, "a", "left").withColumn("label", F.coalesce("label", "a"))
+    heads = persist_shared(near.select("a", "a_rep").distinct().join(first, "a", "left").withColumn("label", F.coalesce("label", "a")))
+    for _ in range(2):  # the first set of the first set
+        heads = heads.join(heads.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left").select("a", "a_rep", F.coalesce("further", "label").alias("label"))
     piece = ((F.row_number().over(Window.partitionBy("label").orderBy("a_rep", "a")) - 1) / GROUP).cast("int")
     heads = heads.select("a", F.xxhash64("label", piece).alias("gid"))
     asked = near.select("a", "b").join(heads, "a").select("gid", F.col("b").alias("sid")).distinct()
