@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-First the documents that have each word n-gram of the benchmark are counted, over all documents. The rarer half of
-an item's n-grams are its seeds. Where a document has a seed, the words around it, as many as the item's words on either
-side and some more, are aligned with the item: matches score 2, other words and gaps cost 1. A passage is a leak if the best
-local alignment reaches `SHARE` of the score that the whole item would have, so edited, cut and paraphrased copies count as
-far as they keep to the item's words in its order.
+First it is seen which word n-grams of the benchmark stand in any document, over all documents. All of these are seeds: an edited
+copy may share any of them. Where a document has a seed, the words around it, as many as the item's words on either
+side and some more, are aligned with the item, unless they have too few of its words for any alignment to count: matches
+score 2, other words and gaps cost 1. A passage is a leak if the best local alignment reaches `SHARE` of the score that the whole
+item would have, so edited, cut and paraphrased copies count as far as they keep to the item's words in its order and keep
+`N` of them in a row.
 
 The benchmark goes to the tasks in parts of at most `ITEMS` items, so what is sent is bounded; each part is a pass over the documents.
 Whole texts are searched. Words are as in `textkit.word_spans`, in lower case. Items of fewer words than `N` have one seed, of all
@@ -26,8 +27,6 @@ from .textkit import batch_words, clean_text, gram_hashes, map_rows
 
 N = 3
 SHARE = 0.5
-#: Part of an item's n-grams, from the rarest, that are its seeds.
-SEED_SHARE = 0.5
 ITEMS = 20_000
 MATCH, MISS, GAP = 2, -1, 1
 _BITS = 22
@@ -48,8 +47,8 @@ class Index:
     filter: np.ndarray
 
 
-def _index(ids: list[int], words: list[np.ndarray], keep: dict[int, set[int]] | None = None) -> Index:
-    rows = sorted((int(g), i, k) for i, w in enumerate(words) for k, g in enumerate(gram_hashes(w, N)) if keep is None or int(g) in keep[i])
+def _index(ids: list[int], words: list[np.ndarray], keep: set[int] | None = None) -> Index:
+    rows = sorted((int(g), i, k) for i, w in enumerate(words) for k, g in enumerate(gram_hashes(w, N)) if keep is None or int(g) in keep)
     g, item, offset = (np.array([r[k] for r in rows], t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
     seeds, first, count = np.unique(g, return_index=True, return_counts=True)
     there = np.zeros(1 << _BITS, bool)
@@ -114,36 +113,32 @@ def _leaks(index: Index, words: np.ndarray, short: set[int], share: float) -> li
             else:
                 merged.append([a, b])
         for a, b in merged:
-            score, matches, s, e = align(index.words[i], words[a:b])
             full = MATCH * len(index.words[i])
+            if MATCH * np.isin(index.words[i], words[a:b]).sum() < share * full:  # no alignment has more matches than that
+                continue
+            score, matches, s, e = align(index.words[i], words[a:b])
             if score >= share * full:
                 out.append((i, a + s, a + e, matches, score / full))
     return out
 
 
 def seeds(docs: DataFrame, items: list[tuple[int, str]]) -> Index:
-    """Counts the n-grams' documents over the whole corpus and keeps each item's rarer ones."""
+    """The items' n-grams that stand in any document of the whole corpus."""
     text = pa.array([t.lower() for _, t in items], pa.large_string())
     words = [w for _, w in batch_words(text)]
     index = _index([i for i, _ in items], words)
     short = {len(w) for w in words if 0 < len(w) < N}
     shared = docs.sparkSession.sparkContext.broadcast(index)  # at most ITEMS items
 
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.seeds), np.int64)
+    def see(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(len(shared.value.seeds), bool)
         for _, w in batch_words(batch.column(0)):
             for grams in _doc_grams(w, short):
-                total[np.unique(_hits(shared.value, grams)[1])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["seed", "n"])
-
-    found = map_rows(docs, [F.lower(clean_text("text")).alias("text")], "seed int, n bigint", count).groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    df = dict.fromkeys(map(int, index.seeds), 0) | {int(index.seeds[r.seed]): r.n for r in found}
-    keep = {}
-    for i, w in enumerate(words):
-        grams = sorted({int(g) for g in gram_hashes(w, N)}, key=lambda g: (df[g], g))
-        keep[i] = set(grams[: max(1, round(len(grams) * SEED_SHARE))])
-    return _index([i for i, _ in items], words, keep)
+                there[_hits(shared.value, grams)[1]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(there).astype(np.int32))], ["seed"])
+
+    found = map_rows(docs, [F.lower(clean_text("text")).alias("text")], "seed int", see).distinct().collect()
+    return _index([i for i, _ in items], words, {int(index.seeds[r.seed]) for r in found})
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
