@@ -14,6 +14,10 @@ After `ROUNDS` turns, instances of at least `REPORT` are identifiers, in each pl
 has most confidence (of equals the first in alphabetical order). So the trusted patterns find identifiers that no validator knows,
 such as mail domains that the list lacks, and form-like strings that only stand beside other things are left alone.
 
+Numbers beside each other, with a space or a slash between, are one candidate if a validator accepts them together. Else the
+validators try the runs of whole numbers in them: those in a fixed layout first, then the longest, then the first. What is left
+between accepted ones is a candidate as it would be alone.
+
 Null, empty and digitless texts without a mail address have no candidates. Repeated rows each report. Offsets count characters.
 Counts are over all documents. Extra columns are ignored.
 """
@@ -41,7 +45,7 @@ _HIT = re.compile(r"[0-9@]")
 _CANDIDATE = re.compile(
     r"(?P<mail>[^\W_][\w.+\-]*@[^\W_][\w\-]*(?:\.[\w\-]+)+)"
     r"|(?P<address>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<groups>(?<![\w+])\+?\(?\d{1,5}\)?(?:[ .\-/]\(?\d{2,5}\)?){1,6}(?![\w]))"
+    r"|(?P<groups>(?<![\w+])\+?\(?\d{1,5}\)?(?:[ .\-/]\(?\d{2,5}\)?)+(?![\w]))"
     r"|(?P<solid>(?<!\w)\+?\d{3,}(?!\w))"
     r"|(?P<mixed>(?<!\w)(?=[\w\-]*\d)[\w][\w\-]{3,}(?!\w))"
 )
@@ -69,7 +73,7 @@ def seed_kind(s: str) -> str | None:
     if re.fullmatch(r"\d{3}-\d\d-\d{4}", s):
         return "ssn" if s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000" else None
     digits = re.sub(r"[ \-]", "", s)
-    if re.fullmatch(r"[3-6]\d{12,18}", digits) and len(set(digits)) > 2 and _luhn(digits):
+    if re.fullmatch(r"[3-6]\d{12,18}", digits) and len(set(digits)) > 1 and _luhn(digits):
         return "card"
     if re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9]{11,30}", s) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
         return "iban"
@@ -85,6 +89,40 @@ def form(s: str) -> str:
     return re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() else "a", re.sub(r"\d+", lambda m: f"<{len(m.group())}>", s))
 
 
+#: Digits that what a validator accepts has at least and at most; numbers that an unaccepted candidate has at most.
+_LEAST, _MOST, _UNITS = 9, 19, 7
+_UNIT = re.compile(r"[^ /]+")
+_CARD = re.compile(r"\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?")
+
+
+def split(s: str) -> list[tuple[int, int]]:
+    """The spans in a string of joined numbers that are candidates, in order."""
+    units = [m.span() for m in _UNIT.finditer(s)]
+    if len(units) < 2 or seed_kind(s):
+        return [(0, len(s))]
+    sizes = [sum(c.isdigit() for c in s[a:b]) for a, b in units]
+    found = []
+    for a in range(len(units)):
+        digits = 0
+        for b in range(a, len(units)):
+            digits += sizes[b]
+            if digits > _MOST:
+                break
+            if digits >= _LEAST and (kind := seed_kind(part := s[units[a][0] : units[b][1]])):
+                found.append((kind == "card" and b > a and not _CARD.fullmatch(part), a - b, a, b + 1))
+    owner = [0] * len(units)
+    taken = []
+    for _, _, a, b in sorted(found):
+        if not any(owner[a:b]):
+            owner[a:b] = [1] * (b - a)
+            taken.append((a, b))
+    at = 0
+    for a, b in sorted(taken) + [(len(units), 0)]:
+        taken += [(k, min(a, k + _UNITS)) for k in range(at, a, _UNITS)]
+        at = b
+    return [(units[a][0], units[b - 1][1]) for a, b in sorted(taken)]
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, string) of candidates in text order, without overlaps."""
     at = 0
@@ -96,9 +134,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
         if found is None:
             return
         s, e = found.span()
-        text_of = found.group().rstrip(".-")
-        if len(text_of) > 3:
-            yield s, s + len(text_of), text_of
+        for a, b in split(found.group()) if found.lastgroup == "groups" else [(0, e - s)]:
+            text_of = text[s + a : s + b].rstrip(".-")
+            if len(text_of) > 3:
+                yield s + a, s + a + len(text_of), text_of
         at = max(e, hit.end())
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from siftlake.llm import decontam
+from siftlake.llm import decontam, pii
 
 from .test_operators import WORD, frame, prose, smith_waterman
 
@@ -33,3 +33,27 @@ def test_edited_copies_are_found_with_and_without_exact_ones(spark, exact):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), bench).collect()}
     assert len(near) > 150 and len(near & got) >= 0.99 * len(near)
+
+
+CARD, OTHER_CARD, SSN, PHONE, OTHER = "4111 1111 1111 1111", "4012-8888-8888-1881", "123-45-6789", "555-234-4567", "(555) 987-6543"
+NUMBERS = [
+    (f"{CARD} 12/25", [(CARD, "card")]),
+    (f"paid 12/25 {CARD} 123 in full", [(CARD, "card")]),
+    (f"{SSN} 1990", [(SSN, "ssn")]),
+    (f"{PHONE} {OTHER}", [(PHONE, "phone"), (OTHER, "phone")]),
+    (f"{PHONE}/{PHONE}", [(PHONE, "phone"), (PHONE, "phone")]),
+    (f"{CARD} {SSN} {PHONE}", [(CARD, "card"), (SSN, "ssn"), (PHONE, "phone")]),
+    (f"10 20 30 40 {CARD} 50 {OTHER_CARD} 60", [(CARD, "card"), (OTHER_CARD, "card")]),
+    (" ".join(["17"] * 500 + [SSN] + ["17"] * 500), [(SSN, "ssn")]),
+    ("12-123-45-6789 10/11 2024 15", []),
+    (CARD, [(CARD, "card")]),
+]
+
+
+def test_identifiers_with_numbers_beside_them(spark):
+    for text, expected in NUMBERS:
+        found = list(pii.candidates(text))
+        assert [(s, k) for _, _, s in found if (k := pii.seed_kind(s))] == expected, text
+        assert all(text[a:b] == s for a, b, s in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    got = {(r.doc_id, r.start_at, r.end_at, r.kind) for r in pii.identify(frame(spark, [t for t, _ in NUMBERS])).collect() if r.seed}
+    assert {(i, t[a:b], k) for i, a, b, k in got for t in [NUMBERS[i][0]]} == {(i, s, k) for i, (_, e) in enumerate(NUMBERS) for s, k in e}
