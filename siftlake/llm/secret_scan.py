@@ -1,12 +1,15 @@
 """Secret scans: assignment-aware lexing.
 
 `lex` reads source and configuration syntax in a text and gives name-literal pairs: `name = "x"`, `name: x`, `"name": "x"`,
-`name := x`, `name => x`, `<name>x</name>`, `--name x`, `scheme://name:x@host`, `Bearer x` and PEM blocks.
+`name: Type = x`, `name Type = x`, `name := x`, `name => x`, `<name>x</name>`, `--name x`, `scheme://name:x@host`, `Bearer x` and PEM blocks.
 Constants are propagated in text order: identifiers, `${name}` and `$name` in a value stand for the literal that
 was last assigned to the name, and `+` or `.` joins literals. A literal scores by how sensitive its target's name is and
 by how much it looks like key material; words, placeholders and references without a value score low. Unnamed
 literals in the published shape of a provider's keys score by shape alone.
 
+A type between a name and `=` is read as such if it follows a colon, or if it is a known one or `var`, `const` or the like begins the declaration,
+and unless the type's own name is the more sensitive one of the two, as in a message `note: token = x`.
+
 Null, empty and assignment-free texts have no findings. A name is read up to 128 characters back from its operator and a
 symbol table is per document. Findings that overlap resolve to the highest score, then the longest, then the first.
 Offsets count characters. Repeated rows each report their findings; other columns are ignored or, in `redact`, kept.
@@ -56,6 +59,10 @@ SHAPE_KEYS = {"aws_access_key": ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ANPA")
 
 _OPERATOR = re.compile(r"[:=]")
 _NAME = re.compile(r"""(?:(["'`])([^"'`\n]{1,80})\1|([A-Za-z_$][\w.$\-]*)(?:\[["']?([\w.\-]+)["']?\])?)[ \t]*$""")
+_TYPE = r"[&*\[\]]*(?:'\w+[ \t]+)?(?:(?:mut|const|dyn|readonly|implicit)[ \t]+)?[A-Za-z_][\w.]*(?:::\w+)*(?:<[^=\"\n;]{0,60}>|\[[^=\"\n;]{0,60}\]|\(\w+\))*[?!*&]?"
+_TYPED = re.compile(rf"""(?:(["'`])([^"'`\n]{{1,80}})\1|(?<![\w$.\-])([A-Za-z_$][\w$.\-]*))[ \t]*(?:[?!]?:(?!:)[ \t]*({_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*)|[ \t]({_TYPE}))[ \t]*$""")
+_DECLARES = re.compile(r"\b(?:var|const|let|val|declare)[ \t]+@?$", re.I)
+TYPES = {"string", "str", "char", "bytes", "byte", "text", "varchar", "nvarchar", "any", "object", "unicode", "rune", "uint8", "u8", "cstring", "securestring", "secretstr", "nsstring", "optional", "option"}
 _STRING = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|[rbuf]?"(?:\\.|[^"\\\n])*"|[rbuf]?\'(?:\\.|[^\'\\\n])*\'|`[^`\n]*`'
 _TERM = re.compile(rf"(?P<quoted>{_STRING})|(?P<bare>[^\s\"'`,;(){{}}\[\]<>&|#]+)")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"'$]))[ \t]*(?:\\?\n[ \t]*)?")
@@ -119,6 +126,21 @@ def _unquote(s: str) -> str:
     return s
 
 
+def _typed(text: str, low: int, at: int) -> tuple[str, str] | None:
+    """The name and the type, if a typed declaration ends at an equals sign."""
+    low = max(low, text.rfind("\n", low, at) + 1)
+    line = text[low:at].rstrip(" \t")
+    if ":" not in line and " " not in line and "\t" not in line:
+        return None
+    m = _TYPED.search(line)
+    if m is None:
+        return None
+    name, kind = m.group(2) or m.group(3), m.group(4) or m.group(5)
+    if m.group(4) is None and not _DECLARES.search(line, 0, m.start()) and not TYPES.intersection(re.findall(r"\w+", kind.lower())):
+        return None
+    return (name, kind) if sensitivity(name) >= sensitivity(kind) else None
+
+
 def lex(text: str) -> list[Pair]:
     """Name-literal pairs in text order, with constants propagated."""
     pairs: list[Pair] = []
@@ -141,9 +163,10 @@ def lex(text: str) -> list[Pair]:
         name = _NAME.search(text, low, at + 0) if at else None
         if name is None and at and text[at - 1] in ":?+|" and at > 1:  # := ?= += ||=
             name = _NAME.search(text[low : at - 1])
-        if name is None:
+        typed = _typed(text, low, at) if text[at] == "=" and text[at + 1 : at + 2] not in ("=", ">") else None
+        if name is None and typed is None:
             continue
-        target = name.group(2) or name.group(4) or name.group(3)
+        target = name and (name.group(2) or name.group(4) or name.group(3))
         end = at + 1
         if text[end : end + 1] in ("=", ">"):  # == compares, => assigns
             if text[end] == "=" and text[at] == "=":
@@ -153,12 +176,12 @@ def lex(text: str) -> list[Pair]:
             continue
         while text[end : end + 1] in (" ", "\t"):
             end += 1
-        value, first, kind = None, end, "assignment"
+        value, first, kind, known = None, end, "assignment", False
         uses.clear()
         while (term := _TERM.match(text, end)) is not None:
             if term.group("quoted") is not None:
                 piece = _REFERENCE.sub(put, _unquote(term.group("quoted")))
-                end = term.end()
+                end, known = term.end(), True
             else:
                 piece, end = term.group("bare"), term.end()
                 if value is None and piece.lower() in ("bearer", "basic"):
@@ -171,14 +194,18 @@ def lex(text: str) -> list[Pair]:
                 piece = _REFERENCE.sub(put, trimmed)
                 if _IDENTIFIER.match(piece) and piece in symbols:
                     uses.append(symbols[piece])
-                    piece, kind = pairs[symbols[piece]].literal, "propagated"
+                    piece, kind, known = pairs[symbols[piece]].literal, "propagated", True
             value = (value or "") + piece
             joint = _JOIN.match(text, end)
             if joint is None or joint.end() == end:
                 break
             kind, end = "propagated", joint.end()
-        if value:
+        if typed and known:  # an unknown word is a reference there
+            target = typed[0]
+        if value and target:
             symbols[target] = len(pairs)
+            if typed and known and name is not None and typed[1].islower() and typed[1].isidentifier() and typed[1] not in TYPES:  # it may have been a name
+                symbols[typed[1]] = len(pairs)
             pairs.append(Pair(first, end, target, value, kind, tuple(uses)))
             done = end if kind == "propagated" or text[first : first + 1] in "\"'`" else at + 1
     if "<" in text:

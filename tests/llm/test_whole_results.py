@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from siftlake.llm import decontam, pii
+from siftlake.llm import decontam, pii, secret_scan
 
 from .test_operators import WORD, frame, prose, smith_waterman
 
@@ -57,3 +57,28 @@ def test_identifiers_with_numbers_beside_them(spark):
         assert all(text[a:b] == s for a, b, s in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
     got = {(r.doc_id, r.start_at, r.end_at, r.kind) for r in pii.identify(frame(spark, [t for t, _ in NUMBERS])).collect() if r.seed}
     assert {(i, t[a:b], k) for i, a, b, k in got for t in [NUMBERS[i][0]]} == {(i, s, k) for i, (_, e) in enumerate(NUMBERS) for s, k in e}
+
+
+KEY = "Ab3dEf6hIj9kLm"
+TYPED = {
+    "TypeScript": [f'const apiKey: string = "{KEY}";', f"private readonly apiKey?: string | undefined = '{KEY}'", f'let api_key: Array<string> = "{KEY}"'],
+    "Python": [f'API_KEY: str = "{KEY}"', f'def f(host: str, password: Optional[str] = "{KEY}"):', f'password: SecretStr="{KEY}"', f'token: str | None = "{KEY}"'],
+    "Go": [f'var apiKey string = "{KEY}"', f'const apiKey Text = "{KEY}"', f'var (\n\tapiKey  string = "{KEY}"\n)'],
+    "Rust": [f'const API_KEY: &str = "{KEY}";', f'static API_KEY: &\'static str = "{KEY}";', f'let api_key: Option<std::string::String> = "{KEY}"'],
+    "Kotlin": [f'val apiKey: String = "{KEY}"', f'private const val apiKey: String? = "{KEY}"'],
+    "Swift": [f'let apiKey: String = "{KEY}"', f'var apiKey: String! = "{KEY}"'],
+}
+
+
+@pytest.mark.parametrize("language", TYPED)
+def test_secrets_in_typed_declarations(language):
+    for text in TYPED[language]:
+        found = [f for f in secret_scan.scan(text) if f.literal == KEY]
+        assert len(found) == 1 and secret_scan.sensitivity(found[0].name) >= 0.9 and KEY not in secret_scan.masked(text), text
+
+
+def test_types_take_no_secret_from_other_names():
+    for text in (f'String password = "{KEY}";', f'note: token = "{KEY}"', f'std::string apiKey = "{KEY}";', f"token: {KEY}= x", f'config: base = "{KEY}"\npassword = base', f'const part: string = "{KEY}";\nconst token = part;'):
+        assert KEY not in secret_scan.masked(text), text
+    for text in (f'const label: string = "{KEY}"', f'const part: string = "{KEY}"\ntoken: string', 'const token: string = getToken();', f'var title string = "{KEY}"'):
+        assert secret_scan.scan(text) == [], text
