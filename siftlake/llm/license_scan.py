@@ -5,6 +5,9 @@ Each match is a detection, an interval with the rule's priority. A detection goe
 detection of higher priority, or of equal priority and greater length, or of equal interval and priority and an earlier rule; so
 each place keeps its most specific reading, and overlaps that contain neither one stay.
 
+Both see the text without the comment leaders at line starts (`*`, `//`, `#`, `--`, `;` and the like) and the borders of boxes at line ends, so
+text that is wrapped in a comment is read like any other; detections have the offsets of the text itself.
+
 Null, empty and license-free texts have no detections. Offsets count characters. Keywords with a space are found across any white
 space. Repeated rows each report their own detections; other columns are ignored.
 """
@@ -12,6 +15,7 @@ space. Repeated rows each report their own detections; other columns are ignored
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -70,15 +74,36 @@ def _compiled():
     return rules, automaton
 
 
+_LEADER = re.compile(r"""^[ \t]*(?:/\*+!?|\*+/?|//+!?|\#+[!:|]?|--+|;+|%+|<!--|\.\.(?!\.)|\.\\"|\(\*+|\{-|!+|>+|(?:dnl|@?rem|REM)\b|["'](?=[ \t\n]))[ \t]*|[ \t]+[*#|]+/?[ \t]*$""", re.M)
+
+
+def uncommented(text: str) -> tuple[str, list[int], list[int]]:
+    """The text without comment leaders; where its pieces start, in it and in the text."""
+    pieces, own, there, at, size = [], [0], [0], 0, 0
+    for m in _LEADER.finditer(text):
+        pieces.append(text[at : m.start()])
+        size += m.start() - at
+        at = m.end()
+        own.append(size)
+        there.append(at)
+    return ("".join([*pieces, text[at:]]) if pieces else text), own, there
+
+
 def detect(text: str) -> list[Detection]:
     rules, automaton = _compiled()
+    text, own, there = uncommented(text)
+
+    def place(i: int) -> int:
+        k = bisect_right(own, i) - 1
+        return there[k] + i - own[k]
+
     low = " ".join(text.lower().split())
     hit: set[int] = set()
     for _, found in automaton.iter(low):
         hit.update(found)
     if not hit:
         return []
-    out = [Detection(m.start(), m.end(), rules[i].license, i, rules[i].priority) for i in sorted(hit) for m in rules[i].expression.finditer(text) if m.end() > m.start()]
+    out = [Detection(place(m.start()), place(m.end() - 1) + 1, rules[i].license, i, rules[i].priority) for i in sorted(hit) for m in rules[i].expression.finditer(text) if m.end() > m.start()]
     return resolve(out)
 
 

@@ -1,11 +1,12 @@
 """Results that are easily cut short, against brute force."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
 
-from siftlake.llm import decontam, pii, secret_scan
+from siftlake.llm import decontam, license_scan, pii, secret_scan
 
 from .test_operators import WORD, frame, prose, smith_waterman
 
@@ -82,3 +83,27 @@ def test_types_take_no_secret_from_other_names():
         assert KEY not in secret_scan.masked(text), text
     for text in (f'const label: string = "{KEY}"', f'const part: string = "{KEY}"\ntoken: string', 'const token: string = getToken();', f'var title string = "{KEY}"'):
         assert secret_scan.scan(text) == [], text
+
+
+HEADERS = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice appears.",
+    "GPL-3.0": "You can use it under the terms of the GNU General Public License, version 3.",
+}
+
+
+@pytest.mark.parametrize("lead", [" * ", "# ", "// ", "-- ", ";; ", "% ", "    ## ", "> ", "dnl "])
+@pytest.mark.parametrize("name", HEADERS)
+def test_licenses_in_wrapped_comments(name, lead):
+    for width in range(20, 80, 7):
+        lines = textwrap.wrap(HEADERS[name], width)
+        plain = [d.license for d in license_scan.detect("\n".join(lines))]
+        assert name in plain or width < 60
+        text = "x = 1\n" + "\n".join(lead + x for x in lines) + "\ny = 2\n"
+        found = license_scan.detect(text)
+        assert [d.license for d in found] == plain, text
+        for d in found:
+            assert text[d.start : d.end].split()[0] in HEADERS[name] and not text[d.start : d.end].endswith("\n")
+    boxed = "/***\n" + "\n".join(f" * {x:60} *" for x in textwrap.wrap(HEADERS[name], 60)) + "\n ***/"
+    assert [d.license for d in license_scan.detect(boxed)] == plain
