@@ -5,7 +5,7 @@ copy may share any of them. Where a document has a seed, the words around it, as
 side and some more, are aligned with the item, unless they have too few of its words for any alignment to count: matches
 score 2, other words and gaps cost 1. A passage is a leak if the best local alignment reaches `SHARE` of the score that the whole
 item would have, so edited, cut and paraphrased copies count as far as they keep to the item's words in its order and keep
-`N` of them in a row.
+`N` of them in a row. What is left of the words on either side of a passage is aligned again, until nothing more reaches `SHARE`.
 
 The benchmark goes to the tasks in parts of at most `ITEMS` items, so what is sent is bounded; each part is a pass over the documents.
 Whole texts are searched. Words are as in `textkit.word_spans`, in lower case. Items of fewer words than `N` have one seed, of all
@@ -72,8 +72,8 @@ def _doc_grams(words: np.ndarray, short: set[int]) -> list[np.ndarray]:
     return out + [gram_hashes(words, k) for k in short if len(words) >= k]
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """The best local alignment of two word sequences: its score, matches, and start and end in text; of equals the one that ends first."""
+def align(item: np.ndarray, text: np.ndarray, middle: bool = False) -> tuple[int, int, int, int]:
+    """The best local alignment of two word sequences: its score, matches, and start and end in text; of equals the one that ends first, or that in the middle."""
     n = len(text)
     h, ramp = np.zeros((len(item) + 1, n + 1), np.int32), GAP * np.arange(n + 1, dtype=np.int32)
     for i, w in enumerate(item, 1):
@@ -81,7 +81,8 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
         t[1:] = np.maximum(t[1:], h[i - 1, :-1] + np.where(text == w, MATCH, MISS))
         h[i] = np.maximum.accumulate(t + ramp) - ramp
     score = int(h.max())
-    j = end = int(h.max(0).argmax())
+    ends = np.flatnonzero(h.max(0) == score)
+    j = end = int(ends[len(ends) // 2 if middle else 0])
     i, matches = int(h[:, j].argmax()), 0
     while h[i, j] > 0:
         same = i and j and item[i - 1] == text[j - 1]
@@ -112,13 +113,15 @@ def _leaks(index: Index, words: np.ndarray, short: set[int], share: float) -> li
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        for a, b in merged:
-            full = MATCH * len(index.words[i])
-            if MATCH * np.isin(index.words[i], words[a:b]).sum() < share * full:  # no alignment has more matches than that
+        item, full = index.words[i], MATCH * len(index.words[i])
+        while merged:
+            a, b = merged.pop()
+            if MATCH * np.isin(item, words[a:b]).sum() < share * full:  # no alignment has more matches than that
                 continue
-            score, matches, s, e = align(index.words[i], words[a:b])
+            score, matches, s, e = align(item, words[a:b], b - a > 4 * len(item))  # many copies are halved again and again
             if score >= share * full:
                 out.append((i, a + s, a + e, matches, score / full))
+                merged += [[x, y] for x, y in ((a, a + s), (a + e, b)) if MATCH * (y - x) >= share * full]
     return out
 
 

@@ -107,3 +107,14 @@ def test_licenses_in_wrapped_comments(name, lead):
             assert text[d.start : d.end].split()[0] in HEADERS[name] and not text[d.start : d.end].endswith("\n")
     boxed = "/***\n" + "\n".join(f" * {x:60} *" for x in textwrap.wrap(HEADERS[name], 60)) + "\n ***/"
     assert [d.license for d in license_scan.detect(boxed)] == plain
+
+
+def test_copies_beside_each_other_are_a_row_each(spark):
+    rng = random.Random(31)
+    item = [f"i{k}" for k in range(30)]
+    docs = [(item + ["so"]) * 2, item * 3, (item + ["and", "then"]) * 200, item + edited(rng, item, 0.15) + item, item]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    rows = sorted((r.doc_id, r.start_word, r.end_word) for r in decontam.leaks(frame(spark, [" ".join(w) for w in docs]), bench).collect())
+    assert [sum(d == i for d, _, _ in rows) for i in range(len(docs))] == [2, 3, 200, 3, 1]
+    assert [(a, b) for d, a, b in rows if d == 2] == [(32 * k, 32 * k + 30) for k in range(200)]
+    assert all(x[0] < y[0] or x[2] <= y[1] for x, y in zip(rows, rows[1:]))
