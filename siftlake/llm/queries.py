@@ -39,7 +39,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(table(spark, sf_dir, "documents"))
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,15 +97,17 @@ ORACLE: dict[str, str] = {
         ranked as (select *, row_number() over (partition by vec_id order by product desc, neighbour) as rank from pairs)
         select vec_id, neighbour, product, rank::int as rank from ranked where rank <= 10""",
     "op8_ngram_jaccard_join": r"""
-        with words as (select doc_id, regexp_extract_all(lower(text), '(?:[0-9a-z_]|[^\x00-\x7F])+') as w from documents where doc_id is not null and text is not null),
+        with recursive words as (select doc_id, regexp_extract_all(lower(text), '(?:[0-9a-z_]|[^\x00-\x7F])+') as w from documents where doc_id is not null and text is not null),
         grams as (
             select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end)) as g
             from words where len(w) > 0),
-        sets as (select g, min(doc_id) as rep, len(any_value(g)) as m from grams group by g),
-        copies as (select s.rep as doc_a, d.doc_id as doc_b, 1.0::double as jaccard from grams d join sets s using (g) where s.rep < d.doc_id),
-        tokens as (select rep, m, unnest(g) as token from sets),
-        pairs as (
-            select a.rep as doc_a, b.rep as doc_b, count(*)::double / (any_value(a.m) + any_value(b.m) - count(*)) as jaccard
-            from tokens a join tokens b on a.token = b.token and a.rep < b.rep group by a.rep, b.rep)
-        select * from copies union all select * from pairs where jaccard >= 0.5""",
+        known as (select distinct doc_id, g from grams),
+        sets as (select g, min(doc_id) as rep, count(*) as copies, len(any_value(g)) as m, row_number() over (order by min(doc_id), g) as s from known group by g),
+        tokens as (select s, m, copies, unnest(g) as token from sets),
+        pairs as (select a.s as a, b.s as b, any_value(b.copies) as n from tokens a join tokens b on a.token = b.token and a.s <> b.s group by a.s, b.s having count(*)::double / (any_value(a.m) + any_value(b.m) - count(*)) >= 0.5),
+        reach as (select a as s, b as t from pairs union select reach.s, pairs.b from reach join pairs on reach.t = pairs.a),
+        class as (select reach.s, min(rep) as least from reach join sets on sets.s = reach.t group by reach.s),
+        linked as (select a as s, sum(n) as n from pairs group by a)
+        select d.doc_id, case when s.s is null then d.doc_id else least(s.rep, coalesce(c.least, s.rep)) end as class_id, (coalesce(s.copies, 1) - 1 + coalesce(l.n, 0))::bigint as links
+        from (select distinct doc_id, g from documents left join grams using (doc_id) where doc_id is not null) d left join sets s on s.g = d.g left join class c on c.s = s.s left join linked l on l.s = s.s""",
 }

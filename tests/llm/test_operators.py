@@ -393,7 +393,7 @@ def test_groups_in_pieces_and_chains(spark, monkeypatch):
     texts = [" ".join(base[:k] + [f"z{k}"] + base[k:]) for k in range(5, 95, 6)] + [" ".join(base)] * 4
     got = {(r.doc_a, r.doc_b) for r in ngram_join.similar(frame(spark, texts)).collect()}
     assert got == jaccard_truth(texts, range(len(texts)), 3, 0.5).keys()
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (100, 102)], "doc_a bigint, doc_b bigint")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (100, 102)], "a bigint, b bigint")
     roots = {r.id: r.root for r in ngram_join.components(edges).collect()}
     assert roots == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
     assert ngram_join.components(edges.limit(0)).count() == 0
