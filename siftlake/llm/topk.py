@@ -1,17 +1,20 @@
-"""Exact top-k search by inner product, every vector a query.
+"""Exact top-k search by inner product: the rows whose id is divisible by `every` are queries, against all rows.
 
 Vectors are rotated by the right singular vectors of the whole table (from its d x d matrix of second moments, summed in Spark), so
-the first coordinates carry most of the length, and cut into blocks in order of descending length. A task takes a block of queries
-and a run of item blocks in that order, and keeps the k best of each query. An item block is left out, and the run ended, where
-the query's length times the block's greatest length can't reach the query's k-th best product. In a block, the first coordinates'
-partial sums come first; an item stays only if its partial sum plus the product of the two residual lengths
-(Cauchy-Schwarz) can reach the k-th best, and only what stays gets the full product. Bounds are widened by the rounding of
-32-bit sums; products of what stays are in 64 bits, of the unrotated vectors, so results are exact.
+the first coordinates carry most of the length. Items are cut into blocks in order of descending length, and runs of blocks; queries
+likewise into groups. A task has one tile, a group of queries and a run: it holds the queries, and the run's blocks pass by, one at a
+time. First all groups meet the run of the longest items; another tile is only made where some query's length times the
+run's greatest length can reach that query's k-th best product so far, and there a block is passed over by the same
+bound. In a block, the first coordinates' partial sums come first; an item stays only if its partial sum plus the product of the two residual
+lengths (Cauchy-Schwarz) can reach the k-th best, and only what stays gets the full product.
+
+Bounds are widened by what rounding to 32 bits can change in any sum of d products, (d + 8) / 2^23 of the product of lengths, twice what is
+proven for the worst case, and products of what stays are in 64 bits, of the unrotated vectors; so results are exact for any d.
 
 Results have k rows a query, fewer if there are fewer other vectors; a vector is no result of its own row. Products are
 rounded to 6 digits; equal ones go to the least id. Null ids, null or empty vectors, vectors with null or non-finite entries and those whose
 dimension is not the most common one (of equals the greatest) are neither queries nor items. Rows that repeat an id each
-count as items; as queries they have one result together. Extra columns are ignored.
+count as items; as queries they have one result together. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ K = 10
 BLOCK = 4096
 #: Item blocks that one task goes over.
 RUN = 32
+#: What stands in a packed row: of a group of queries or of a block of items.
+ASKED, ITEM = 0, 1
 SCHEMA = "vec_id bigint, neighbour bigint, product double, rank int"
 
 
@@ -71,83 +76,126 @@ def rotation(rows: DataFrame) -> np.ndarray:
     return axes[:, np.argsort(-values, kind="stable")]
 
 
-def _search(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray, np.ndarray]], axes: np.ndarray, k: int) -> pd.DataFrame:
-    qid, q = queries
-    head = max(1, q.shape[1] // 4)
-    rq = (q @ axes).astype(np.float32)
-    length, rest = np.sqrt((q * q).sum(1)), np.sqrt((rq[:, head:].astype(np.float64) ** 2).sum(1)).astype(np.float32)
-    kept = [(np.zeros(0), np.zeros(0, np.int64)) for _ in qid]
-    floor = np.full(len(qid), -np.inf)
-    for pid, p in blocks:
+class _Queries:
+    """A group of queries and the k best that each has met; `floor` is the k-th best product, less its rounding."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, axes: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.floor, self.axes, self.k = ids, q, floor.copy(), axes, k
+        self.head = max(1, q.shape[1] // 4)
+        self.rq = (q @ axes).astype(np.float32)
+        self.length, self.rest = np.sqrt((q * q).sum(1)), np.sqrt((self.rq[:, self.head :].astype(np.float64) ** 2).sum(1)).astype(np.float32)
+        self.kept = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+
+    def meet(self, pid: np.ndarray, p: np.ndarray) -> None:
+        k, head = self.k, self.head
         norms = np.sqrt((p * p).sum(1))
-        slack = 1e-5 * length * norms.max() + 2e-6
-        live = np.flatnonzero(length * norms.max() + slack >= floor)
+        slack = (p.shape[1] + 8) * 2.0**-23 * self.length * norms.max() + 2e-6
+        live = np.flatnonzero(self.length * norms.max() + slack >= self.floor)
         if not len(live):
-            break
-        rp = (p @ axes).astype(np.float32)
-        bound = rq[live, :head] @ rp[:, :head].T
-        bound += rest[live, None] * np.sqrt((rp[:, head:].astype(np.float64) ** 2).sum(1)).astype(np.float32)
-        may = bound + slack[live, None] >= floor[live, None]
+            return
+        rp = (p @ self.axes).astype(np.float32)
+        bound = self.rq[live, :head] @ rp[:, :head].T
+        bound += self.rest[live, None] * np.sqrt((rp[:, head:].astype(np.float64) ** 2).sum(1)).astype(np.float32)
+        may = bound + slack[live, None] >= self.floor[live, None]
         if may.mean() > 0.05:
             # most stay: their sums are finished in one product, and only near misses of the k-th best go on
-            full = rq[live] @ rp.T
+            full = self.rq[live] @ rp.T
             if len(pid) > k + 1:  # a query may meet itself
                 kth = np.partition(full, len(pid) - k - 1, axis=1)[:, len(pid) - k - 1]
-                may &= full + 2 * slack[live, None] >= np.maximum(floor[live], kth)[:, None]
-        for a, i in enumerate(live):
+                may &= full + 2 * slack[live, None] >= np.maximum(self.floor[live], kth)[:, None]
+            else:
+                may &= full + 2 * slack[live, None] >= self.floor[live, None]
+        for a in np.flatnonzero(may.any(axis=1)):
+            i = live[a]
             at = np.flatnonzero(may[a])
-            at = at[pid[at] != qid[i]]
+            at = at[pid[at] != self.ids[i]]
             if len(at):
-                s = np.round((p[at] * q[i]).sum(1), 6)
-                s, ids = np.concatenate([kept[i][0], s]), np.concatenate([kept[i][1], pid[at]])
+                s = np.round((p[at] * self.q[i]).sum(1), 6)
+                s, ids = np.concatenate([self.kept[i][0], s]), np.concatenate([self.kept[i][1], pid[at]])
                 best = np.lexsort((ids, -s))[:k]
-                kept[i] = s[best], ids[best]
+                self.kept[i] = s[best], ids[best]
                 if len(best) == k:
-                    floor[i] = s[best[-1]] - 1e-6
-    return pd.DataFrame({"vec_id": np.repeat(qid, [len(s) for s, _ in kept]), "neighbour": np.concatenate([ids for _, ids in kept] or [np.zeros(0, np.int64)]), "product": np.concatenate([s for s, _ in kept] or [np.zeros(0)])})
+                    self.floor[i] = max(self.floor[i], s[best[-1]] - 1e-6)
+
+    def ratio(self) -> float:
+        """Length that an item needs to be among the k best of any of the queries."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(self.length > 0, self.floor / self.length, np.where(self.floor > 0, np.inf, -np.inf))
+        return float(need.min()) * (1 - 1e-5) - 1e-5 / float(max(self.length.max(), 1e-300)) if len(need) else np.inf
+
+
+def _packed(rows: DataFrame, block: int) -> DataFrame:
+    """(at, longest, ids, v): blocks in order of descending length, which `at` numbers in that order, with gaps."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for a in range(0, batch.num_rows, block):
+                part = batch.slice(a, block)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.column(2)[0].as_py()]), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_matrix(part.column(1)).tobytes()], pa.binary())], ["at", "longest", "ids", "v"])
+                at += 1
 
+    parts = max(1, -(-rows.count() // block))
+    ordered = rows.repartitionByRange(parts, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
+    return persist_shared(ordered.select("vec_id", "v", "length").mapInArrow(pack, "at bigint, longest double, ids binary, v binary"))
 
-def search(vectors: DataFrame, k: int = K, block: int = BLOCK, run: int = RUN) -> DataFrame:
-    """(vec_id, neighbour, product, rank): the k other vectors with the greatest inner products."""
+
+def search(vectors: DataFrame, k: int = K, every: int = 1, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """(vec_id, neighbour, product, rank): the k other vectors with the greatest inner products, of each query."""
     rows = persist_shared(_usable(vectors).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))))
     axes = rotation(rows)
-    n = rows.count()
-    if not n:
+    if not len(axes):
         return vectors.sparkSession.createDataFrame([], SCHEMA)
-    shared = vectors.sparkSession.sparkContext.broadcast(axes)  # d x d
-    # blocks by rank of length; sorted ranges, then one file-sized binary a block
-    ordered = rows.repartitionByRange(max(1, -(-n // block)), F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
+    shared, dims = vectors.sparkSession.sparkContext.broadcast(axes), len(axes)  # d x d
+    items = _packed(rows, block).withColumn("run", F.floor(F.shiftright("at", 24) / run))
+    no_floor = F.lit(None).cast("binary").alias("floors")
+    queries = _packed(rows.where(F.col("vec_id") % every == 0), block).select(F.col("at").alias("group"), "ids", "v")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                ids, v, lengths = part.column(0).to_numpy(), _matrix(part.column(1)), part.column(2).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[0]]), pa.array([lengths.max()]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["first", "longest", "ids", "v"])
-
-    packed = persist_shared(ordered.select("vec_id", "v", "length").mapInArrow(pack, "first bigint, longest double, ids binary, v binary"))
-    named = packed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("longest"), "first")) - 1)  # one row a block
-    named = persist_shared(named)
-    items = named.select(F.floor(F.col("rank") / run).alias("run"), F.col("rank").alias("at"), F.col("ids").alias("pid"), F.col("v").alias("p"))
-    queries = named.select("rank", "ids", "v").crossJoin(named.select(F.floor(F.col("rank") / run).alias("over")).distinct())
-    dims = len(axes)
-
-    def unpack(ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(-1, dims)
-
-    def go(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        there = there.sort_values("at")
-        blocks = [unpack(a, b) for a, b in zip(there["pid"], there["p"])]
-        out = [_search(unpack(a, b), blocks, shared.value, k) for a, b in zip(asked["ids"], asked["v"])]
-        return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "neighbour": [], "product": []})
-
-    found = _paired(queries, items, go)
-    best = Window.partitionBy("vec_id").orderBy(F.desc("product"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("vec_id", "neighbour", "product", "rank")
+    def vectors_of(v: bytes) -> np.ndarray:
+        return np.frombuffer(v).reshape(-1, dims)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, group, asked = None, None, None
 
+        def close() -> Iterator[pa.RecordBatch]:
+            counts = np.array([len(s) for s, _ in asked.kept], np.int32)
+            packed = [np.repeat(asked.ids, counts), np.concatenate([i for _, i in asked.kept]), np.concatenate([s for s, _ in asked.kept]), asked.floor]
+            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([asked.ratio()]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["group", "ratio", "vec_id", "neighbour", "product", "floors"])
 
-def _paired(queries: DataFrame, items: DataFrame, go) -> DataFrame:
-    """A task for each query block and run of items."""
-    lanes = queries.select(F.col("rank").alias("lane"), F.col("over").alias("run")).distinct()
-    there = items.join(lanes, "run")
-    return queries.groupBy("rank", "over").cogroup(there.groupBy("lane", "run")).applyInPandas(go, "vec_id bigint, neighbour bigint, product double")
+        for batch in batches:
+            for r in range(batch.num_rows):
+                g, u, role, ids, v, floors = (batch.column(c)[r].as_py() for c in ("group", "run", "role", "ids", "v", "floors"))
+                ids = np.frombuffer(ids, np.int64)
+                if role == ASKED:
+                    if asked is not None:
+                        yield from close()
+                    here, group = (g, u), g
+                    asked = _Queries(ids, vectors_of(v), np.frombuffer(floors) if floors else np.full(len(ids), -np.inf), shared.value, k)
+                elif here == (g, u):
+                    asked.meet(ids, vectors_of(v))
+        if asked is not None:
+            yield from close()
+
+    def tiles(asked: DataFrame, there: DataFrame) -> DataFrame:
+        """Packed results of tiles, from groups (group, run, ids, v, floors) and the blocks of their runs."""
+        names = ["group", "run", "role", "at", "ids", "v", "floors"]
+        both = asked.withColumn("role", F.lit(ASKED)).withColumn("at", F.lit(-1).cast("bigint")).select(names)
+        both = both.unionByName(there.join(asked.select("group", "run"), "run").withColumn("role", F.lit(ITEM)).withColumn("floors", no_floor).select(names))
+        placed = both.repartition("group", "run").sortWithinPartitions("group", "run", "role", "at")
+        return placed.mapInArrow(meet, "group bigint, ratio double, vec_id binary, neighbour binary, product binary, floors binary")
+
+    # the run of the longest items, for all groups; and then what can still change their results
+    first = persist_shared(tiles(queries.withColumn("run", F.lit(0).cast("bigint")).withColumn("floors", no_floor), items.where("run = 0")))
+    runs = items.where("run > 0").groupBy("run").agg(F.max("longest").alias("longest"))
+    reach = F.broadcast(runs)  # one small row for RUN blocks
+    left = first.select("group", "ratio", "floors").join(reach, F.col("longest") >= F.col("ratio")).join(queries, "group").select("group", "run", "ids", "v", "floors")
+    found = first.unionByName(tiles(left, items.where("run > 0")))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(c)[r].as_py(), kind)) for c, kind in (("vec_id", np.int64), ("neighbour", np.int64), ("product", np.float64))], ["vec_id", "neighbour", "product"])
+
+    rows = found.select("vec_id", "neighbour", "product").mapInArrow(unpack, "vec_id bigint, neighbour bigint, product double")
+    best = Window.partitionBy("vec_id").orderBy(F.desc("product"), "neighbour")
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("vec_id", "neighbour", "product", "rank")
