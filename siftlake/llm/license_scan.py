@@ -8,8 +8,8 @@ each place keeps its most specific reading, and overlaps that contain neither on
 Both see the text without the comment leaders at line starts (`*`, `//`, `#`, `--`, `;` and the like) and the borders of boxes at line ends, so
 text that is wrapped in a comment is read like any other; detections have the offsets of the text itself.
 
-Null, empty and license-free texts have no detections. Offsets count characters. Keywords with a space are found across any white
-space. Repeated rows each report their own detections; other columns are ignored.
+Null, empty and license-free texts have no detections, and an empty table gives no rows. Offsets count characters. Keywords with a space are found across any white
+space. Very long texts are read whole; n detections resolve in n log n steps. Repeated rows each report their own detections; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,9 +110,17 @@ def detect(text: str) -> list[Detection]:
 def resolve(found: list[Detection]) -> list[Detection]:
     """Drops contained detections that something more specific explains; the rest in text order."""
     kept: list[Detection] = []
+    starts = sorted({d.start for d in found})
+    reach = [-1] * (len(starts) + 1)  # a Fenwick tree: the greatest end of what is kept, by how many starts there are up to its own
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.rule)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+        own = k = bisect_right(starts, d.start)
+        while k and reach[k] < d.end:
+            k &= k - 1
+        if not k:
             kept.append(d)
+            while own <= len(starts):
+                reach[own] = max(reach[own], d.end)
+                own += own & -own
     return sorted(kept)
 
 
