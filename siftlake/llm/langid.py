@@ -6,7 +6,8 @@ scores all rows: a batch of texts is a sparse matrix in CSR form (indices of n-g
 and its product with the matrix gives the scores.
 
 Confidence and margin are rounded to 6 digits. Null, empty and letterless texts have no n-grams: their language is `und` with confidence 0. Ties go to the language that
-is first in alphabetical order. Repeated rows are each scored; other columns are ignored, whatever their names.
+is first in alphabetical order. Repeated rows are each scored; other columns are ignored, whatever their names. Very long
+texts are counted in slices, whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .textkit import clean_text, map_rows, slices
 #: Bound on labelled rows that the model is fitted on.
 TRAIN_ROWS = 4000
 BITS = 15
+#: Characters of a text from which it is scored by counts, in slices of as many.
+LONG = 1 << 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
 SCHEMA = "doc_id bigint, lang string, confidence double, margin double"
@@ -39,15 +42,19 @@ class Model:
     bits: int = BITS
 
 
-def buckets(text: str, bits: int = BITS) -> np.ndarray:
-    """Buckets of the character n-grams of a text, in lower case; runs of characters that aren't letters count as one space."""
+def _characters(text: str) -> np.ndarray:
+    """Code points of a text in lower case; runs of characters that aren't letters count as one space. None without a letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = (c >= 97) & (c <= 122) | (c >= 0xAA) & (c != 0xD7) & (c != 0xF7) & ~((c >= 0x2000) & (c <= 0x206F))
     if not letter.any():
         return np.zeros(0, np.uint32)
     c = np.where(letter, c, np.uint32(32))
-    c = c[np.concatenate([[True], letter[1:] | letter[:-1]])]
-    out, shift = [], np.uint32(32 - bits)
+    return c[np.concatenate([[True], letter[1:] | letter[:-1]])]
+
+
+def _hashed(c: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """Buckets of the n-grams that begin at the first `most` characters."""
+    out, shift = [np.zeros(0, np.uint32)], np.uint32(32 - bits)
     with np.errstate(over="ignore"):
         h = np.zeros(len(c), np.uint32)
         for k in ORDERS:
@@ -55,10 +62,24 @@ def buckets(text: str, bits: int = BITS) -> np.ndarray:
                 break
             h = (h[: len(c) - k + 1] ^ (c[k - 1 :] * _K[0])) * _K[1]
             h ^= h >> np.uint32(15)
-            out.append((h * _K[2] + np.uint32(k)) * _K[0] >> shift)
+            out.append((h[:most] * _K[2] + np.uint32(k)) * _K[0] >> shift)
     return np.concatenate(out)
 
 
+def buckets(text: str, bits: int = BITS) -> np.ndarray:
+    """Buckets of the character n-grams of a text."""
+    c = _characters(text)
+    return _hashed(c, bits, len(c))
+
+
+def counts(text: str, bits: int = BITS) -> np.ndarray:
+    """How often each bucket stands in a text, of which LONG characters are hashed at once."""
+    c, out = _characters(text), np.zeros(1 << bits, np.int64)
+    for at in range(0, len(c), LONG):
+        out += np.bincount(_hashed(c[at : at + LONG + max(ORDERS) - 1], bits, LONG), minlength=1 << bits)
+    return out
+
+
 def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
     """About `rows` labelled rows, chosen by a hash of the id: the same ones in each run."""
     labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
@@ -71,24 +92,29 @@ def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, bits: in
     taken = sample(docs, label, rows).collect()
     languages = tuple(sorted({r.label for r in taken}))
     at = {x: i for i, x in enumerate(languages)}
-    counts, n = np.zeros((1 << bits, len(languages))), np.zeros(len(languages))
+    table, n = np.zeros((1 << bits, len(languages))), np.zeros(len(languages))
     for r in taken:
-        counts[:, at[r.label]] += np.bincount(buckets(r.text, bits), minlength=1 << bits)
+        table[:, at[r.label]] += counts(r.text, bits)
         n[at[r.label]] += 1
-    logp = np.log(counts + ALPHA) - np.log(counts.sum(0) + ALPHA * (1 << bits))
+    logp = np.log(table + ALPHA) - np.log(table.sum(0) + ALPHA * (1 << bits))
     return Model(languages, np.log(n / max(1, n.sum())), logp, bits)
 
 
 def score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Log posteriors up to a constant (rows x languages) and the number of n-grams of each row."""
-    rows = [buckets(t, model.bits) for t in texts]
-    size = np.array([len(r) for r in rows])
     out = np.tile(model.prior, (len(texts), 1))
+    rows = [buckets(t, model.bits) if len(t) <= LONG else np.zeros(0, np.uint32) for t in texts]
+    size = np.array([len(r) for r in rows])
     full = np.flatnonzero(size)
     if len(full):
         indices = np.concatenate(rows)
         indptr = np.concatenate([[0], np.cumsum(size[full])[:-1]])
         out[full] += np.add.reduceat(model.logp[indices], indptr, axis=0, dtype=np.float64)
+    for i, t in enumerate(texts):
+        if len(t) > LONG:  # by counts: memory doesn't grow with text times languages
+            n = counts(t, model.bits)
+            size[i] = n.sum()
+            out[i] += n @ model.logp
     return out, size
 
 
