@@ -8,7 +8,7 @@ item would have, so edited, cut and paraphrased copies count as far as they keep
 `N` of them in a row. What is left of the words on either side of a passage is aligned again, until nothing more reaches `SHARE`.
 
 The benchmark goes to the tasks in parts of at most `ITEMS` items, so what is sent is bounded; each part is a pass over the documents.
-Whole texts are searched. Words are as in `textkit.word_spans`, in lower case. Items of fewer words than `N` have one seed, of all
+Whole texts are searched; scores are found row by row, so memory grows with a text's length plus the square of an item's. Empty tables have no leaks. Words are as in `textkit.word_spans`, in lower case. Items of fewer words than `N` have one seed, of all
 their words, and wordless items none. Null, empty and wordless texts have no leaks. Repeated items report each, repeated
 rows too. Positions count words from 0. Other columns are ignored or, in `drop_leaks`, kept.
 """
@@ -72,17 +72,31 @@ def _doc_grams(words: np.ndarray, short: set[int]) -> list[np.ndarray]:
     return out + [gram_hashes(words, k) for k in short if len(words) >= k]
 
 
+def _rows(item: np.ndarray, text: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of the matrix of local alignments, one after the other: a row for each word of the item, after one of zeros."""
+    ramp = GAP * np.arange(len(text) + 1, dtype=np.int32)
+    row = np.zeros(len(text) + 1, np.int32)
+    yield row
+    for w in item:
+        t = np.maximum(row - GAP, 0)
+        t[1:] = np.maximum(t[1:], row[:-1] + np.where(text == w, MATCH, MISS))
+        row = np.maximum.accumulate(t + ramp) - ramp
+        yield row
+
+
 def align(item: np.ndarray, text: np.ndarray, middle: bool = False) -> tuple[int, int, int, int]:
     """The best local alignment of two word sequences: its score, matches, and start and end in text; of equals the one that ends first, or that in the middle."""
-    n = len(text)
-    h, ramp = np.zeros((len(item) + 1, n + 1), np.int32), GAP * np.arange(n + 1, dtype=np.int32)
-    for i, w in enumerate(item, 1):
-        t = np.maximum(h[i - 1] - GAP, 0)
-        t[1:] = np.maximum(t[1:], h[i - 1, :-1] + np.where(text == w, MATCH, MISS))
-        h[i] = np.maximum.accumulate(t + ramp) - ramp
-    score = int(h.max())
-    ends = np.flatnonzero(h.max(0) == score)
-    j = end = int(ends[len(ends) // 2 if middle else 0])
+    low, most = 0, np.zeros(len(text) + 1, np.int32)
+    for row in _rows(item, text):
+        np.maximum(most, row, out=most)
+    score = int(most.max())
+    ends = np.flatnonzero(most == score)
+    end = int(ends[len(ends) // 2 if middle else 0])
+    # each word of an alignment beyond its matches costs 1 at least, so it has no more words than this; only they need the whole matrix
+    low = max(0, end - ((MATCH + 1) * len(item) - score) - 1)
+    text = text[low:end]
+    h = np.stack(list(_rows(item, text)))
+    j = len(text)
     i, matches = int(h[:, j].argmax()), 0
     while h[i, j] > 0:
         same = i and j and item[i - 1] == text[j - 1]
@@ -93,7 +107,7 @@ def align(item: np.ndarray, text: np.ndarray, middle: bool = False) -> tuple[int
             j -= 1
         else:
             i -= 1
-    return score, matches, j, end
+    return score, matches, low + j, end
 
 
 def _leaks(index: Index, words: np.ndarray, short: set[int], share: float) -> list[tuple[int, int, int, int, float]]:
