@@ -10,8 +10,9 @@ literals in the published shape of a provider's keys score by shape alone.
 A type between a name and `=` is read as such if it follows a colon, or if it is a known one or `var`, `const` or the like begins the declaration,
 and unless the type's own name is the more sensitive one of the two, as in a message `note: token = x`.
 
-Null, empty and assignment-free texts have no findings. A name is read up to 128 characters back from its operator and a
-symbol table is per document. Findings that overlap resolve to the highest score, then the longest, then the first.
+Null, empty and assignment-free texts have no findings, and an empty table gives no rows. Names and literals have any length and texts are read whole; a typed declaration, and a quoted name
+with spaces, is read up to `DECLARATION` characters back from its operator, and an unquoted value of more than `BARE` characters ends before the next
+operator, if there is one in it. A symbol table is per document. Findings that overlap resolve to the highest score, then the longest, then the first.
 Offsets count characters. Repeated rows each report their findings; other columns are ignored or, in `redact`, kept.
 """
 
@@ -35,6 +36,9 @@ from .textkit import clean_text, map_rows
 THRESHOLD = 0.5
 SCHEMA = "doc_id bigint, start_at int, end_at int, name string, kind string, sha256 string, score double"
 MASK = "[SECRET]"
+DECLARATION = 128
+#: Characters from which an unquoted value ends before the next operator.
+BARE = 4096
 
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "secret_key": 1.0,
@@ -65,12 +69,13 @@ _DECLARES = re.compile(r"\b(?:var|const|let|val|declare)[ \t]+@?$", re.I)
 TYPES = {"string", "str", "char", "bytes", "byte", "text", "varchar", "nvarchar", "any", "object", "unicode", "rune", "uint8", "u8", "cstring", "securestring", "secretstr", "nsstring", "optional", "option"}
 _STRING = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|[rbuf]?"(?:\\.|[^"\\\n])*"|[rbuf]?\'(?:\\.|[^\'\\\n])*\'|`[^`\n]*`'
 _TERM = re.compile(rf"(?P<quoted>{_STRING})|(?P<bare>[^\s\"'`,;(){{}}\[\]<>&|#]+)")
+_QUOTED = re.compile(r"[rbuf]?[\"'`]")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"'$]))[ \t]*(?:\\?\n[ \t]*)?")
 _REFERENCE = re.compile(r"\$\{(\w+)\}|\$(\w+)|%(\w+)%")
 _IDENTIFIER = re.compile(r"^[A-Za-z_$][\w.$]*$")
-_TAG = re.compile(r"<([A-Za-z_][\w.\-]{0,80})>([^<>\n]{1,400})</\1>")
+_TAG = re.compile(r"<([A-Za-z_][\w.\-]{0,80})>([^<>\n]+)</\1>")
 _FLAG = re.compile(r"(?<![\w\-])--?([A-Za-z][\w\-]{1,60})[ \t]+(\"[^\"\n]*\"|'[^'\n]*'|[^\s\-\"'][^\s\"']*)")
-_URL = re.compile(r"\b([a-z][a-z0-9+.\-]{1,20})://([^\s:@/\"']{0,80}):([^\s@/\"']{1,200})@")
+_URL = re.compile(r"\b([a-z][a-z0-9+.\-]{1,20})://([^\s:@/\"']*):([^\s@/\"']+)@")
 _BEARER = re.compile(r"(?i)\b(bearer|basic)[ \t]+([A-Za-z0-9_\-.~+/]{16,}=*)")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([\s\S]*?)(?:-----END \1-----|$)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -141,6 +146,24 @@ def _typed(text: str, low: int, at: int) -> tuple[str, str] | None:
     return (name, kind) if sensitivity(name) >= sensitivity(kind) else None
 
 
+def _term(text: str, at: int) -> re.Match | None:
+    """The term that begins here."""
+    if _QUOTED.match(text, at) is None and (term := _TERM.match(text, at, at + BARE + 1)) is not None and term.end() > at + BARE:
+        to = _OPERATOR.search(text, at + 1)
+        return _TERM.match(text, at, to.start()) if to else _TERM.match(text, at)
+    return _TERM.match(text, at)
+
+
+def _begin(text: str, at: int, near: int) -> int:
+    """Where to look for the name before an operator: from `near`, or from where a longer name begins."""
+    s = at
+    while s and text[s - 1] in " \t":
+        s -= 1
+    while s and (text[s - 1].isalnum() or text[s - 1] in "_.$-[]\"'"):
+        s -= 1
+    return s if s < near else near
+
+
 def lex(text: str) -> list[Pair]:
     """Name-literal pairs in text order, with constants propagated."""
     pairs: list[Pair] = []
@@ -159,11 +182,12 @@ def lex(text: str) -> list[Pair]:
         at = op.start()
         if at < done:
             continue
-        low = max(0, at - 128)
-        name = _NAME.search(text, low, at + 0) if at else None
+        near = max(0, at - DECLARATION)
+        low = _begin(text, at, near)
+        name = _NAME.search(text, low, at) if at else None
         if name is None and at and text[at - 1] in ":?+|" and at > 1:  # := ?= += ||=
-            name = _NAME.search(text[low : at - 1])
-        typed = _typed(text, low, at) if text[at] == "=" and text[at + 1 : at + 2] not in ("=", ">") else None
+            name = _NAME.search(text[_begin(text, at - 1, near) : at - 1])
+        typed = _typed(text, near, at) if text[at] == "=" and text[at + 1 : at + 2] not in ("=", ">") else None
         if name is None and typed is None:
             continue
         target = name and (name.group(2) or name.group(4) or name.group(3))
@@ -178,7 +202,7 @@ def lex(text: str) -> list[Pair]:
             end += 1
         value, first, kind, known = None, end, "assignment", False
         uses.clear()
-        while (term := _TERM.match(text, end)) is not None:
+        while (term := _term(text, end)) is not None:
             if term.group("quoted") is not None:
                 piece = _REFERENCE.sub(put, _unquote(term.group("quoted")))
                 end, known = term.end(), True
