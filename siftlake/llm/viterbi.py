@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding: Viterbi over piece scores, streaming.
 
-`Codec.stream` walks over a text of any length and keeps a window of scores and backpointers that is bounded by the
-longest piece. As soon as all surviving backpointer paths meet in one boundary, the ids before it are committed and the
-window moves on; a path can't reach back further than the longest piece, so a window is only longer than that while two
-paths stay apart. Places that no piece of the vocabulary straddles (such as the one before a word mark, or around a
+`Codec.stream` walks over a text of any length and keeps a window of scores that is bounded by the longest piece: no piece that
+begins later reaches further back. When all surviving backpointer paths meet in one boundary, the ids before it are committed and
+the backpointers before it go. Only while two paths stay apart do backpointers stay, at 8 bytes a character; whether paths have met is looked for
+when their number has doubled, so time is linear in the text, whatever it is. Places that no piece of the vocabulary straddles (such as the one before a word mark, or around a
 character that only single-character pieces have) are such boundaries for any text: texts are cut there first and the
 parts' ids are remembered by each worker, in a store of bounded size.
 
@@ -11,16 +11,18 @@ The result is the segmentation with the highest sum of the model's piece scores
 pairs gives other ids, but both decode to the same text). Among equal sums the one wins whose last piece starts first. Characters that no piece covers become their bytes' pieces; if the model has
 none, the unknown id.
 
-Null and empty texts have no ids; they decode to empty texts. Decoding is exact, but for the word mark U+2581
+Null and empty texts have no ids; they decode to empty texts. An empty table gives no rows. Repeated rows are each encoded; other columns are ignored. Decoding is exact, but for the word mark U+2581
 in a text, which comes back as a space, and for lone surrogates and ids of control symbols, which give nothing.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -108,12 +110,15 @@ class Codec:
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a marked text, each given out as soon as it is certain."""
         starts, n, no = self.starts, len(text), -1e300
-        score = [0.0]  # of the best path to base + k
-        back: list[tuple[int, int]] = [(0, -1)]  # its last piece's start and id; -2: an uncovered character
-        base = 0
-        window = 2 * self.longest
+        score, first = [0.0], 0  # of the best path to first + k
+        begin, piece = array("q", [0]), array("i", [-1])  # the start and id of the last piece of the best path to base + k; -2: an uncovered character
+        base, window = 0, 2 * self.longest
+        due = window
         for i in range(n):
-            k = i - base
+            if i - first >= window:
+                del score[: i - first]
+                first = i
+            k = i - first
             here, end = score[k], i + 1
             single = False
             while end <= n and (part := text[i:end]) in starts:
@@ -121,37 +126,43 @@ class Codec:
                 if p is not None:
                     if end == i + 1:
                         single = True
-                    s, at = here + p[1], end - base
+                    s, at = here + p[1], end - first
                     while len(score) <= at:
                         score.append(no)
-                        back.append((i, -2))
+                        begin.append(i)
+                        piece.append(-2)
                     if s > score[at]:
-                        score[at], back[at] = s, (i, p[0])
+                        score[at], begin[end - base], piece[end - base] = s, i, p[0]
                 end += 1
             if not single:
                 if len(score) == k + 1:
                     score.append(no)
-                    back.append((i, -2))
+                    begin.append(i)
+                    piece.append(-2)
                 if here + self.bad > score[k + 1]:
-                    score[k + 1], back[k + 1] = here + self.bad, (i, -2)
-            if k >= window and i + 1 < n:
+                    score[k + 1], begin[i + 1 - base], piece[i + 1 - base] = here + self.bad, i, -2
+            if i - base >= due and i + 1 < n:
                 # survivors: the positions that later pieces can start from
-                heads, low = {j for j in range(i + 1, base + len(score)) if score[j - base] > no}, base
+                heads = [-j for j in range(i + 1, first + len(score)) if score[j - first] > no]
+                heapify(heads)
                 while len(heads) > 1:
-                    last = max(heads)
-                    heads.discard(last)
-                    heads.add(back[last - base][0])
-                meet = heads.pop()
-                if meet > low:
-                    yield from self._path(text, back, base, meet)
-                    del score[: meet - base], back[: meet - base]
-                    base = meet
-        yield from self._path(text, back, base, n)
-
-    def _path(self, text: str, back: list[tuple[int, int]], base: int, end: int) -> list[int]:
+                    last = -heads[0]
+                    heapreplace(heads, -begin[last - base])
+                    while len(heads) > 1 and heads[0] in (heads[1], heads[2] if len(heads) > 2 else None):
+                        heappop(heads)
+                meet = -heads[0]
+                if meet > base:
+                    yield from self._path(text, begin, piece, base, meet)
+                    del begin[: meet - base], piece[: meet - base]
+                    base, due = meet, window
+                else:
+                    due = 2 * (i - base)
+        yield from self._path(text, begin, piece, base, n)
+
+    def _path(self, text: str, begin: array, piece: array, base: int, end: int) -> list[int]:
         out: list[int] = []
         while end > base:
-            start, i = back[end - base]
+            start, i = begin[end - base], piece[end - base]
             if i >= 0:
                 out.append(i)
             elif self.bytes_:

@@ -145,9 +145,13 @@ def test_topk_equals_brute_force(spark, block, run):
     bad = [(None, [1.0] * 8), (97, None), (98, []), (99, [1.0, 2.0]), (100, [float("nan")] * 8)]
     df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>").withColumn("rank", F.lit("clash"))
     got = {}
-    for r in topk.search(df, 4, block, run).orderBy("vec_id", "rank").collect():
+    for r in topk.search(df, 4, block=block, run=run).orderBy("vec_id", "rank").collect():
         got.setdefault(r.vec_id, []).append((r.neighbour, pytest.approx(r.product, abs=2e-6)))
     assert got == brute(rows, 4)
+    some = {}
+    for r in topk.search(df, 4, 20, block=block, run=run).orderBy("vec_id", "rank").collect():
+        some.setdefault(r.vec_id, []).append((r.neighbour, pytest.approx(r.product, abs=2e-6)))
+    assert some == {i: x for i, x in got.items() if i % 20 == 0} and topk.search(df.where("vec_id % 20 <> 0"), 4, 20).count() == 0
     assert topk.search(df.limit(0)).count() == 0 and topk.search(df.where("vec_id = 3")).count() == 0
 
 
