@@ -419,13 +419,13 @@ own as (select *, row_number() over (partition by a order by cos desc, b) as rn
 @query(f"with {_GATE} select r.a, r.b, r.cos, r.second::double as second, coalesce(o.cos, 0)::double as b_second, round(r.cos - r.second, 6) >= 0.05 and round(r.cos - coalesce(o.cos, 0), 6) >= 0.05 as accepted from ranked r left join own o on o.a = r.b and o.rn = 2 where r.rn = 1")
 def margin_gate(spark, d):
     target, ref = _sides(spark, d)
-    return similarity.margin_gate(similarity.cross_pairs(target, ref, LOW), similarity.cross_pairs(ref, ref, -2.0), 0.05)
+    return similarity.margin_gate(similarity.cross_pairs(target, ref, LOW), similarity.knn(ref, 2), 0.05)
 
 
 @query(f"with {_GATE}, kth as (select a, min(cos) as kth from own where rn <= 10 group by a) select r.a, r.b, r.cos, k.kth, coalesce(r.cos >= k.kth, true) as accepted from ranked r left join kth k on k.a = r.b where r.rn = 1")
 def rnn_gate(spark, d):
     target, ref = _sides(spark, d)
-    return similarity.rnn_gate(similarity.cross_pairs(target, ref, LOW), similarity.cross_pairs(ref, ref, -2.0), 10)
+    return similarity.rnn_gate(similarity.cross_pairs(target, ref, LOW), similarity.knn(ref, 10), 10)
 
 
 @query(f"""with {_GATE} select x.a, x.b, x.cos, case when x.cos >= {HIGH} then true else least(length(p.text), length(q.text)) / greatest(length(p.text), length(q.text), 1) >= 0.8 end as accepted
