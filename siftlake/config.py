@@ -42,6 +42,8 @@ class DedupConfig:
     semantic_threshold: float = 0.85
     semantic_model: str = "minilm"
     semantic_max_text_bytes: int = 8192
+    embedding_column: str = ""  # vectors that are there already, instead of an embedder
+    search_floor: float | None = None  # the least cosine that candidates are looked for at; unset: what the thresholds need
     search_k: int = 50
     reranker: bool = False
     reranker_top_k: int = 100
@@ -63,8 +65,16 @@ class DedupConfig:
         for name in ("semantic_threshold", "reranker_threshold", "judge_threshold", "margin_threshold", "eviction_target_ratio"):
             if not 0 <= getattr(self, name) <= 1:
                 raise InvalidOption(f"{name} must be from 0 to 1")
-        if self.batch_size < 1:
-            raise InvalidOption("batch_size must be at least 1")
+        for name in ("batch_size", "search_k", "reranker_top_k", "semantic_max_text_bytes"):
+            if getattr(self, name) < 1:
+                raise InvalidOption(f"{name} must be at least 1")
+        for name in ("rnn_k", "default_ttl_seconds", "lru_update_interval_seconds", "max_store_bytes", "normalization_max_bytes"):
+            if getattr(self, name) < 0:
+                raise InvalidOption(f"{name} can't be negative")
+        if self.semantic_model not in INSTRUCTIONS:
+            raise InvalidOption(f"semantic_model must be one of {', '.join(INSTRUCTIONS)}")
+        if self.mode is Mode.EXACT and (self.reranker or self.judge or self.margin or self.rnn):
+            raise InvalidOption("reranker, judge, margin and rnn are options of semantic mode")
 
     @classmethod
     def of(cls, base: DedupConfig | None = None, **options) -> DedupConfig:

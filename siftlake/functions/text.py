@@ -38,9 +38,11 @@ def ascii_fold(c: Column) -> Column:
 
 
 def unicode_fold(c: Column) -> Column:
+    """Texts of ASCII only, which are told by their length in bytes, take the short way."""
+    plain, short = F.octet_length(c) == F.length(c), ascii_fold(c)
     for a, b in EXPANSIONS.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, SINGLE_FROM, SINGLE_TO)
+    return F.when(plain, short).otherwise(F.translate(c, SINGLE_FROM, SINGLE_TO))
 
 
 def normalize(c: Column, mode: Normalization = Normalization.NONE, max_bytes: int = 1 << 20) -> Column:

@@ -119,3 +119,16 @@ def word_pieces(vocabulary: dict[str, int], max_length: int = 512, max_word: int
         return pd.Series(out)
 
     return encode
+
+
+def pooled(tokens: Column, mask: Column | None = None, how: str = "mean") -> Column:
+    """A unit vector from token vectors (an array of arrays): their mean where the mask isn't 0, or the first one with `how="cls"`; null without a token that counts."""
+    if how == "cls":
+        v = F.get(tokens, 0).cast("array<double>")
+    else:
+        pairs = F.arrays_zip(tokens.alias("t"), (mask if mask is not None else F.transform(tokens, lambda _: F.lit(1))).alias("m"))
+        used = F.transform(F.filter(pairs, lambda x: x["m"] != 0), lambda x: x["t"].cast("array<double>"))
+        total = F.aggregate(used, F.array().cast("array<double>"), lambda s, x: F.when(F.size(s) == 0, x).otherwise(F.zip_with(s, x, lambda a, b: a + b)))
+        v = F.when(F.size(used) > 0, F.transform(total, lambda x: x / F.size(used)))
+    size = norm(v)
+    return F.transform(v, lambda x: F.when(size >= 1e-12, x / size).otherwise(x))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DedupConfig
+from ..config import CrossDatasetConfig, DedupConfig, Mode
 from ..errors import NotBuilt
 from ..functions import text as T
+from . import semantic
 from .dedup import value
 
 SEVERITY = ((0.001, "none"), (0.01, "low"), (0.05, "medium"))
@@ -52,16 +53,31 @@ def fold_leakage(df: DataFrame, cfg: DedupConfig, folds: int = 5) -> DataFrame:
 
 
 class Detector:
-    """Checks of many targets against one reference."""
+    """Checks of many targets against one reference: by value, or in semantic mode by `contamination_threshold`."""
 
-    def __init__(self, cfg: DedupConfig | None = None) -> None:
-        self.cfg, self._known = cfg or DedupConfig(), None
+    def __init__(self, cfg: DedupConfig | CrossDatasetConfig | None = None, embedder=None) -> None:
+        across = cfg if isinstance(cfg, CrossDatasetConfig) else CrossDatasetConfig(cfg or DedupConfig())
+        self.cfg, self.threshold, self.embedder, self._known = across.dedup, across.contamination_threshold, embedder, None
 
     def build(self, ref: DataFrame) -> Detector:
-        self._known = reference(ref, self.cfg)
+        self._known = ref if self.cfg.mode is Mode.SEMANTIC else reference(ref, self.cfg)
         return self
 
     def check(self, target: DataFrame, how: str = "left_semi") -> DataFrame:
+        """Contaminated rows, or clean ones with `left_anti`."""
         if self._known is None:
             raise NotBuilt("build a reference first")
+        if self.cfg.mode is Mode.SEMANTIC:
+            return target.join(self.matches(target), F.col(self.cfg.order_column) == F.col("item"), how)
         return _join(target, self._known, self.cfg, how)
+
+    def matches(self, target: DataFrame) -> DataFrame:
+        """(item, match, cos): in semantic mode the nearest reference row of each contaminated one."""
+        if self._known is None:
+            raise NotBuilt("build a reference first")
+        return semantic.contaminated(target, self._known, self.cfg, self.threshold, self.embedder)
+
+    def result(self, target: DataFrame) -> DataFrame:
+        """contaminated, total, rate and severity."""
+        counted = self.check(target).agg(F.count("*").alias("contaminated")).crossJoin(target.agg(F.count("*").alias("total")))
+        return counted.withColumn("rate", F.when(F.col("total") > 0, F.col("contaminated") / F.col("total")).otherwise(0.0)).withColumn("severity", severity(F.col("rate")))

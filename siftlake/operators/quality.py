@@ -33,8 +33,10 @@ def best_f1(swept: DataFrame) -> DataFrame:
     return swept.groupBy().agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("x")).select("x.threshold", "x.f1")
 
 
-def percentiles(df: DataFrame, c: Column) -> DataFrame:
-    """p50, p95 and p99 with linear interpolation."""
+def percentiles(df: DataFrame, c: Column, accuracy: int = 0) -> DataFrame:
+    """p50, p95 and p99 with linear interpolation, which holds a count of each distinct value; with an accuracy, approximately and in bounded memory."""
+    if accuracy:
+        return df.agg(*(F.approx_percentile(c, F.lit(p / 100), F.lit(accuracy)).alias(f"p{p}") for p in (50, 95, 99)))
     return df.agg(*(F.percentile(c, F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)))
 
 
@@ -45,8 +47,15 @@ def histogram(df: DataFrame, c: Column, buckets: tuple[float, ...] = LATENCY_BUC
     return sums.select(F.explode(F.array(*cells, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))).alias("x")).select("x.*")
 
 
-def prometheus(hist: DataFrame, name: str) -> DataFrame:
-    return hist.select(F.format_string(f'{name}_bucket{{le="%s"}} %d', "le", "n").alias("line"))
+def prometheus(hist: DataFrame, name: str, help: str | None = None, total: float | None = None) -> DataFrame:
+    """Lines of text for a scraper, in order with help and type before the buckets, and sum and count after them where `total` is given."""
+    lines = hist.select(F.format_string(f'{name}_bucket{{le="%s"}} %d', "le", "n").alias("line"))
+    if help is None and total is None:
+        return lines
+    made = lambda *x: hist.sparkSession.createDataFrame([(t,) for t in x], "line string")
+    count = hist.where("le = '+Inf'").select(F.format_string(f"{name}_count %d", "n").alias("line"))
+    before = made(f"# HELP {name} {help or name}", f"# TYPE {name} histogram").union(lines)
+    return before.union(made(f"{name}_sum {total}")).union(count) if total is not None else before
 
 
 def distribution(df: DataFrame, label: str) -> DataFrame:

@@ -7,9 +7,11 @@ gives bytes and times.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig
@@ -93,6 +95,12 @@ def is_duplicate_of(refs: DataFrame, a: str, b: str) -> DataFrame:
     return refs.where(F.col("key").isin(a, b)).agg(F.coalesce(one(a) == one(b), F.lit(False)).alias("same"))
 
 
+def same_objects(refs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key1, key2, same) for asked pairs of keys that are both there."""
+    a, b = refs.select(F.col("key").alias("key1"), F.col("object_id").alias("_o1")), refs.select(F.col("key").alias("key2"), F.col("object_id").alias("_o2"))
+    return asked.join(a, "key1").join(b, "key2").select("key1", "key2", (F.col("_o1") == F.col("_o2")).alias("same"))
+
+
 def dangling_keys(refs: DataFrame, objs: DataFrame) -> DataFrame:
     """Keys whose object is gone."""
     return refs.join(objs, "object_id", "left_anti").select("key")
@@ -101,15 +109,32 @@ def dangling_keys(refs: DataFrame, objs: DataFrame) -> DataFrame:
 def touch(objs: DataFrame, accesses: DataFrame, interval_seconds: int = 3600) -> DataFrame:
     """objs with last_accessed after reads (object_id, ts); a read within the interval of the last recorded one isn't recorded.
 
-    Without an interval this is the latest read, a plain aggregate; else each object's reads are folded in time order.
+    Without an interval this is the latest read, a plain aggregate; else each object's reads stream by in time order, and only the last recorded one is held.
     """
     if interval_seconds == 0:
         seen = accesses.groupBy("object_id").agg(F.max("ts").alias("_seen"))
         return objs.join(seen, "object_id", "left").withColumn("last_accessed", F.greatest("last_accessed", F.coalesce("_seen", "last_accessed"))).drop("_seen")
-    seen = accesses.groupBy("object_id").agg(F.sort_array(F.collect_list("ts")).alias("_seen"))
-    us = F.expr(f"INTERVAL {interval_seconds} SECONDS")
-    fold = F.coalesce(F.aggregate("_seen", F.col("last_accessed"), lambda last, t: F.when(t >= last + us, t).otherwise(last)), "last_accessed")
-    return objs.join(seen, "object_id", "left").withColumn("last_accessed", fold).drop("_seen")
+    kind = objs.schema["last_accessed"].dataType
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    reads = accesses.select("object_id", micros("ts").alias("t")).distinct()
+    rows = objs.select("object_id", micros("last_accessed").alias("last")).join(reads, "object_id").repartition("object_id").sortWithinPartitions("object_id", "t")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, out = None, 0, []
+        for batch in batches:
+            for o, first, t in zip(*(batch.column(c).to_pylist() for c in ("object_id", "last", "t"))):
+                if o != here:
+                    out += [(here, last)] if here is not None else []
+                    here, last = o, first
+                if t >= last + interval_seconds * 1_000_000:
+                    last = t
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in out], pa.string()), pa.array([t for _, t in out], pa.int64())], ["object_id", "t"])
+            out = []
+        if here is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([here], pa.string()), pa.array([last], pa.int64())], ["object_id", "t"])
+
+    seen = rows.mapInArrow(follow, "object_id string, t bigint").withColumn("_seen", F.timestamp_micros("t").cast(kind)).drop("t")
+    return objs.join(seen, "object_id", "left").withColumn("last_accessed", F.coalesce("_seen", "last_accessed")).drop("_seen")
 
 
 def health(refs: DataFrame, objs: DataFrame, now: Column, ttl_seconds: int = 0) -> DataFrame:
@@ -169,7 +194,26 @@ class Store:
     def health(self, now: Column) -> DataFrame:
         return health(self.refs, self.objects, now, self.config.default_ttl_seconds)
 
+    def __getitem__(self, key: str) -> str:
+        return self.get(key, F.current_timestamp())
+
+    def __contains__(self, key: str) -> bool:
+        keys = self.log.sparkSession.createDataFrame([(key,)], "key string")
+        return contains(self.refs, self.objects, keys, F.current_timestamp(), self.config.default_ttl_seconds).first().present
+
+    def __len__(self) -> int:
+        return self.refs.count()
+
+    def keys(self, prefix: str = "", limit: int = 0) -> DataFrame:
+        return list_keys(self.refs, prefix, limit)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, config: DedupConfig | None = None) -> Store:
+        """A store that `write` left: its log."""
+        return cls(spark.read.parquet(f"{path}/log"), config or DedupConfig())
+
     def write(self, path: str) -> None:
-        """One schema for all objects, in Parquet; references and objects beside each other."""
+        """In Parquet: the log, from which `read` opens the store again, and references and objects beside it."""
+        self.log.write.mode("overwrite").parquet(f"{path}/log")
         self.refs.write.mode("overwrite").parquet(f"{path}/refs")
         self.objects.write.mode("overwrite").parquet(f"{path}/objects")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import THRESHOLDS, DedupConfig, Normalization
+from ..config import THRESHOLDS, CrossDatasetConfig, DedupConfig, Mode, Normalization
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import contamination, dedup, models, quality, retention, similarity, store
@@ -37,6 +38,7 @@ NOW = "2024-01-31 00:00:00"
 TTL, AGE, IDLE, TARGET = 86400, 2 * 86400, 6 * 3600, 400
 TEST_SOURCE = "src0"
 LOW, HIGH = 0.3, 0.4
+SEMANTIC = DedupConfig(mode=Mode.SEMANTIC, embedding_column="embedding", order_column="vec_id", semantic_threshold=LOW)
 
 
 def _q(s: str) -> str:
@@ -109,7 +111,8 @@ def _normal(mode: Normalization, name: str) -> None:
     form = FORMS[mode]("text")
 
     def normalized(spark, d):
-        return docs(spark, d).select("doc_id", T.digest(T.normalize(F.col("text"), mode)).alias("digest"), F.length(T.normalize(F.col("text"), mode)).cast("bigint").alias("chars"))
+        form = docs(spark, d).select("doc_id", T.normalize(F.col("text"), mode).alias("form"))
+        return form.select("doc_id", T.digest(F.col("form")).alias("digest"), F.length("form").cast("bigint").alias("chars"))
 
     def deduplicated(spark, d):
         return dedup.kept(docs(spark, d).select("doc_id", "text"), DedupConfig(normalization=mode)).select("doc_id", "object_id")
@@ -243,7 +246,9 @@ def lru_touch_fold(spark, d):
     return _objects(spark, d).select("object_id", "last_accessed")
 
 
-@query()
+@query(f"""with recursive {LOG}, reads as (select distinct substr(sha256(value), 1, 32) as object_id, ts from log where value is not null),
+recorded(object_id, last) as (select object_id, created_at from objs union select r.object_id, min(x.ts) from recorded r join reads x on x.object_id = r.object_id and x.ts >= r.last + interval 3600 seconds group by r.object_id, r.last)
+select object_id, max(last) as last_accessed from recorded group by object_id""")
 def lru_touch_throttled(spark, d):
     """Reads within an hour of the last recorded one are not recorded: a fold in time order."""
     reads = log(spark, d).where("value is not null").select(T.object_id(F.col("value")).alias("object_id"), "ts")
@@ -319,11 +324,11 @@ def approx_unique(spark, d):
     return store.approximate_counts(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
 
 
-@query(f"with {LOG} select a.key as key1, b.key as key2, a.value = b.value as same from lastrow a join lastrow b on a.key < b.key")
+@query(f"with {LOG} select a.key as key1, b.key as key2, a.value = b.value as same from lastrow a join lastrow b on b.key = (a.key::bigint + 1)::varchar")
 def is_duplicate_of(spark, d):
-    r = _refs(spark, d).select("key", "object_id")
-    a, b = r.select(F.col("key").alias("key1"), F.col("object_id").alias("o1")), r.select(F.col("key").alias("key2"), F.col("object_id").alias("o2"))
-    return a.join(b, F.col("key1") < F.col("key2")).select("key1", "key2", (F.col("o1") == F.col("o2")).alias("same"))
+    """Each user's key against the next user's."""
+    users = table(spark, d, "events").select("user_id").distinct()
+    return store.same_objects(_refs(spark, d), users.select(F.col("user_id").cast("string").alias("key1"), (F.col("user_id") + 1).cast("string").alias("key2")))
 
 
 # contamination
@@ -399,6 +404,27 @@ def leader_assignment(spark, d):
     return similarity.assignment(v, similarity.pairs(v, LOW))
 
 
+@query(f"""with recursive {_LEADERS}, best as (select b, arg_max(a, (cos, -a)) as leader, max(cos) as cos from p where cos >= {LOW} and a in (select leader from final) and b not in (select leader from final) group by b)
+select v.vec_id, coalesce(best.leader, v.vec_id) as original, substr(sha256(coalesce(best.leader, v.vec_id)::varchar), 1, 32) as object_id, coalesce(best.cos, 1.0)::double as cos, best.b is not null as is_duplicate from embeddings v left join best on best.b = v.vec_id""")
+def semantic_dedup(spark, d):
+    """Semantic mode in one call: what the mapping says."""
+    return dedup.deduplicate(vectors(spark, d), SEMANTIC).mapping.drop("by")
+
+
+@query()
+def semantic_gates(spark, d):
+    """Semantic mode with reranker, margin, reciprocity and judge together, on the texts of the same ids."""
+    v = vectors(spark, d).join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    cfg = replace(SEMANTIC, semantic_threshold=HIGH, judge=True, judge_threshold=LOW, margin=True, margin_threshold=0.01, rnn=True, rnn_k=10, reranker=True, reranker_threshold=0.85, search_floor=LOW - 0.1)
+    return dedup.deduplicate(v, cfg, reranker=similarity.length_reranker, judge=lambda a, b: similarity.length_ratio(a, b) >= 0.8).mapping
+
+
+@query(f"select b.vec_id as item, arg_max(a.vec_id, (round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6), -a.vec_id)) as match, max(round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)) as cos from embeddings a join embeddings b on a.label < 5 and b.label >= 5 where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= {HIGH} group by b.vec_id")
+def semantic_contamination(spark, d):
+    target, ref = _sides(spark, d)
+    return contamination.Detector(CrossDatasetConfig(SEMANTIC, HIGH)).build(ref).matches(target)
+
+
 @query()
 def lsh_cosine_pairs(spark, d):
     return similarity.lsh_pairs(vectors(spark, d), HIGH)
@@ -622,7 +648,7 @@ def synthetic_dedup(spark, d):
     return quality.confusion(flagged.withColumnRenamed("is_duplicate", "said").join(made.select("idx", F.col("is_duplicate").alias("known")), "idx"), F.col("said"), F.col("known"))
 
 
-@query()
+@query("select lang, count(*) as count from documents where ('0x' || substr(md5('42|' || coalesce(lang, '') || '|' || doc_id), 1, 8))::bigint % 1000000 < 200000 group by lang")
 def stratified_sampling(spark, d):
     return stratified_sample(docs(spark, d), "lang", "doc_id", 0.2).groupBy("lang").count()
 

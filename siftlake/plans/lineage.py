@@ -6,11 +6,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import InvalidOption
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where that is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of our own only where that is unset and all runs in one process, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise InvalidOption("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
     return spark.sparkContext.getCheckpointDir()
 

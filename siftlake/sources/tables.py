@@ -76,7 +76,8 @@ def text_pairs(df: DataFrame, kind: str, graded_from: float = 4.0) -> DataFrame:
 
 def stratified_sample(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
     """About that share of each class, chosen by a hash of the key: the same rows in each run, in one pass."""
-    return df.where(F.pmod(F.xxhash64(F.lit(42), F.col(label), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    text = F.concat_ws("|", F.lit("42"), F.coalesce(F.col(label).cast("string"), F.lit("")), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return df.where(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % 1_000_000 < int(share * 1_000_000))
 
 
 def embedding_cache_key(model: str, text) -> F.Column:

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DedupConfig
 from ..functions import text as T
+from ..operators.dedup import number as ranked
 from ..operators.dedup import value
 
 
@@ -68,15 +69,14 @@ def leading(stream: DataFrame, cfg: DedupConfig, ttl_ms: int = 0) -> DataFrame:
 
 
 def write_chunks(stream: DataFrame, cfg: DedupConfig, path: str, checkpoint: str, size: int = 10_000, on_chunk: Callable[[DataFrame, int], None] | None = None):
-    """Kept rows in Parquet by chunk of so many, numbered within their micro-batch; the last chunk of a batch may be shorter.
+    """Kept rows in Parquet by chunk of exactly so many, in order of the order column within their micro-batch; only a batch's last chunk may be shorter.
 
     A batch that is run again overwrites its own folder, so each row is written once.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        w = Window.partitionBy("_part").orderBy(cfg.order_column)
-        rows = batch.withColumn("_part", F.spark_partition_id()).withColumn("chunk", ((F.row_number().over(w) - 1) / size).cast("int"))
-        rows.withColumn("chunk", F.concat_ws("-", "_part", "chunk")).drop("_part").write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/batch={number}")
+        rows = ranked(batch, cfg.order_column, "chunk").withColumn("chunk", F.floor(F.col("chunk") / size))
+        rows.write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/batch={number}")
         if on_chunk:
             on_chunk(batch, number)
 
