@@ -46,7 +46,7 @@ SENSITIVE = {
     "encryption_key": 1.0, "connection_string": 0.8, "account_key": 1.0, "webhook": 0.7, "salt": 0.6, "signature": 0.5, "session": 0.5, "cookie": 0.5, "cert": 0.5, "key": 0.6,
 }
 HARMLESS = {"tokenizer", "max", "min", "count", "num", "len", "length", "limit", "size", "public", "type", "field", "label", "hint", "url", "uri", "path", "file", "policy", "expiry", "ttl", "timeout", "id", "name", "prefix", "header", "format", "reset", "required"}
-PLACEHOLDER = re.compile(r"(?i)^(?:|x{3,}|\*+|\.+|-+|none|null|nil|undefined|true|false|yes|no|on|off|todo|tbd|changeme|change_me|example\w*|sample\w*|dummy\w*|test|testing|placeholder|your[-_ ]?\w*|my[-_ ]?\w*|insert\w*|redacted|secret|password|passwd|token|default|string|str|int|required|optional|\$\{?\w+\}?|<[^>]*>|\{\{.*\}\}|%\(?\w+\)?s?|os\.environ.*|process\.env.*|getenv.*|\[SECRET\])$")
+PLACEHOLDER = re.compile(r"(?i)^(?:|x{3,}|\*+|\.+|-+|none|null|nil|undefined|true|false|yes|no|on|off|todo|tbd|changeme|change_me|example\w*|sample\w*|dummy\w*|test|testing|placeholder|(?:your|my)(?:[-_ ]\w*|[a-z]{0,20})|insert\w*|redacted|secret|password|passwd|token|default|string|str|int|required|optional|\$\{?\w+\}?|<[^>]*>|\{\{.*\}\}|%\(?\w+\)?s?|os\.environ.*|process\.env.*|getenv.*|\[SECRET\])$")
 SHAPES = [
     ("aws_access_key", 0.9, re.compile(r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{16}\b")),
     ("github_token", 0.95, re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b")),
