@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -35,6 +38,16 @@ def persist_shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, read again; the files go when the session ends."""
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def clean_text(column: str) -> Column:
     """Null counts as empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
