@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm import decontam, ngram_join, secret_scan, toxicity, viterbi
-from siftlake.llm.textkit import table
+from siftlake.llm.textkit import table, written
 
 ORACLE_SQL = None
 
@@ -39,7 +39,8 @@ STAGES = [("toxicity", drop_toxic), ("n-gram jaccard join", drop_copies), ("benc
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage runs once: its rows are written to the shared folder and read again as the next one's; the last one's are returned."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
