@@ -72,6 +72,7 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, fn: Callable[[pa
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 yield from fn(batch.slice(at, ROWS))
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .textkit import clean_text, map_rows
 
 MARK = "▁"
-#: Parts of texts that a worker remembers the ids of.
-REMEMBER = 600_000
+#: Parts of texts in a generation of what a worker remembers; it has two.
+REMEMBER = 150_000
 #: Longest part that is remembered.
 REMEMBER_CHARS = 64
 SCHEMA = "doc_id bigint, n_ids int, ids array<int>, exact boolean"
@@ -46,15 +46,18 @@ def default_model() -> str:
 
 
 class _Parts(dict):
-    """Ids of parts, as bytes of 32-bit integers; computed when they are first asked for."""
+    """Ids of parts, as bytes of 32-bit integers; computed when they are first asked for. What a full generation had stays for another one."""
 
     def __init__(self, codec: Codec) -> None:
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.fromiter(self.codec.stream(part), np.int32).tobytes()
+        ids = self.old.get(part)
+        if ids is None:
+            ids = np.fromiter(self.codec.stream(part), np.int32).tobytes()
         if len(part) <= REMEMBER_CHARS:
             if len(self) >= REMEMBER:
+                self.old = dict(self)
                 self.clear()
             self[part] = ids
         return ids

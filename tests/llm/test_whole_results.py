@@ -118,3 +118,14 @@ def test_copies_beside_each_other_are_a_row_each(spark):
     assert [sum(d == i for d, _, _ in rows) for i in range(len(docs))] == [2, 3, 200, 3, 1]
     assert [(a, b) for d, a, b in rows if d == 2] == [(32 * k, 32 * k + 30) for k in range(200)]
     assert all(x[0] < y[0] or x[2] <= y[1] for x, y in zip(rows, rows[1:]))
+
+
+def test_what_a_worker_remembers_does_not_change_ids(monkeypatch):
+    from siftlake.llm import viterbi
+
+    texts = [f"word{i % 7} other{i % 11} thing{i}" for i in range(60)]
+    whole = [viterbi.Codec.load(viterbi.default_model()).encode(t).tolist() for t in texts]
+    monkeypatch.setattr(viterbi, "REMEMBER", 5)
+    codec = viterbi.Codec.load(viterbi.default_model())
+    assert [codec.encode(t).tolist() for t in texts] == whole
+    assert len(codec.parts) <= 5 and len(codec.parts.old) <= 5
