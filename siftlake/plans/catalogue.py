@@ -643,9 +643,8 @@ def embedding_cache_lookup(spark, d):
 @query()
 def synthetic_dedup(spark, d):
     """Confusion of exact deduplication on a synthetic set with known duplicates, as large as the documents table."""
-    made = synthetic.paraphrases(spark, docs(spark, d).count())
-    flagged = dedup.flag(made, DedupConfig(order_column="idx"))
-    return quality.confusion(flagged.withColumnRenamed("is_duplicate", "said").join(made.select("idx", F.col("is_duplicate").alias("known")), "idx"), F.col("said"), F.col("known"))
+    made = synthetic.paraphrases(spark, docs(spark, d).count()).withColumnRenamed("is_duplicate", "known")  # flag() has an is_duplicate of its own
+    return quality.confusion(dedup.flag(made, DedupConfig(order_column="idx")), F.col("is_duplicate"), F.col("known"))
 
 
 @query("select lang, count(*) as count from documents where ('0x' || substr(md5('42|' || coalesce(lang, '') || '|' || doc_id), 1, 8))::bigint % 1000000 < 200000 group by lang")

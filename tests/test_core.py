@@ -13,6 +13,7 @@ from siftlake.functions import stats
 from siftlake.functions import text as T
 from siftlake.functions import vectors as V
 from siftlake.operators import contamination, dedup, quality, retention, similarity, store
+from siftlake.plans.catalogue import QUERIES
 from siftlake.sources import synthetic, tables
 
 CASES = [
@@ -245,6 +246,17 @@ def test_synthetic(spark):
     assert abs(shares[0] - 0.9) < 0.04
 
 
+def test_synthetic_dedup_equals_a_sequential_pass(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    seen, cells = set(), {(said, known): 0 for said in (True, False) for known in (True, False)}
+    for r in synthetic.paraphrases(spark, n).orderBy("idx").collect():
+        cells[r.text in seen, r.is_duplicate] += 1
+        seen.add(r.text)
+    got = QUERIES["synthetic_dedup"](spark, sf_dir).first()
+    assert (got.tp, got.fp, got.fn, got.tn) == (cells[True, True], cells[True, False], cells[False, True], cells[False, False])
+    assert got.tp and got.fn and got.tp + got.fp + got.fn + got.tn == n
+
+
 def test_cache_and_pairs(spark, tmp_path):
     cache, calls = tables.CacheConfig(str(tmp_path)), []
 
