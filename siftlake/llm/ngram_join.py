@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import ROWS, batch_words, clean_text, gram_hashes, map_rows, mix, persist_shared
@@ -69,9 +69,14 @@ def _least(threshold: float, m: Column | np.ndarray) -> Column | np.ndarray:
     return F.ceil(m * threshold - 1e-9) if isinstance(m, Column) else np.ceil(m * threshold - 1e-9).astype(np.int64)
 
 
+def _few(df: DataFrame, rows: float, row_bytes: int) -> DataFrame:
+    """Marked for a broadcast if so many rows have at most BROADCAST_BYTES. Without it, each side of a join has an exchange, and the driver a thread for each exchange."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Marked for a broadcast if its rows, counted, have at most BROADCAST_BYTES."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return _few(df, df.count(), row_bytes)
 
 
 def _lower(column: str) -> Column:
@@ -231,12 +236,11 @@ def _bucket(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shared_sets(docs: DataFrame, wanted: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
-    """(sid, m, grams, low) of the wanted (sid, rep) that can reach the threshold among themselves.
+    """(sid, m, grams, low) of the wanted (doc_id, sid) that can reach the threshold among themselves.
 
     grams: 64-bit hashes that others of them have too, the rarest first, of equals the least; low: the least ones.
     """
     bits = _bits(total)
-    wanted = _small(wanted.select(F.col("rep").alias("doc_id"), "sid").distinct(), 24)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id").select(_lower("text"), "sid")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,23 +309,21 @@ def shared_sets(docs: DataFrame, wanted: DataFrame, n: int, threshold: float, to
     return _by_key(rows, "part", gather, "sid bigint, m int, grams binary, low array<bigint>")
 
 
-def groups(sets: DataFrame) -> DataFrame:
-    """(sid, gid): sets whose least hashes meet, directly or over others, are together, in pieces of bounded size."""
-    low = persist_shared(sets.select("sid", "low", (F.octet_length("grams") / 8).alias("size")))
-    tokens = persist_shared(low.select("sid", F.explode("low").alias("token")))
-    label = low.select("sid", F.element_at("low", 1).alias("label"))
-    for _ in range(2):
-        heads = tokens.join(label, "sid").groupBy("token").agg(F.min("label").alias("label"))
-        label = tokens.join(heads, "token").groupBy("sid").agg(F.min("label").alias("label"))
-    parts = persist_shared(low.select("sid", "size", F.element_at("low", 1).alias("home")).join(label, "sid"))
+def groups(sets: DataFrame, count: int, total: int) -> DataFrame:
+    """(sid, m, gid): sets whose least hashes meet, directly or over others, are together, in pieces of bounded size; of so many sets and n-grams at most."""
+    size = F.octet_length("grams") / 8
+    rows = sets.select("sid", "m", size.alias("size"), F.element_at("low", 1).alias("home"), F.element_at("low", 1).alias("label"), F.explode("low").alias("token"))
+    least = lambda by: F.min("label").over(Window.partitionBy(by))
+    rows = rows.withColumn("label", least("token")).withColumn("label", least("sid")).withColumn("label", least("token"))
+    parts = persist_shared(rows.groupBy("sid").agg(*(F.min(c).alias(c) for c in ("m", "size", "home", "label"))))
     for by in ("home", "sid"):  # what is too large is split by the least hash, and what still is by chance
-        pieces = parts.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_GRAMS)).alias("pieces"))
-        parts = parts.join(pieces, "label").withColumn("label", F.when(F.col("pieces") > 1, F.xxhash64("label", F.pmod(F.xxhash64(by), "pieces"))).otherwise(F.col("label"))).drop("pieces")
-    return persist_shared(parts.select("sid", F.col("label").alias("gid")))
+        pieces = parts.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_GRAMS)).alias("pieces")).where("pieces > 1")
+        parts = parts.join(_few(pieces, count / GROUP + total / GROUP_GRAMS, 24), "label", "left").withColumn("label", F.when(F.col("pieces") > 1, F.xxhash64("label", F.pmod(F.xxhash64(by), "pieces"))).otherwise(F.col("label"))).drop("pieces")
+    return parts.select("sid", "m", F.col("label").alias("gid"))
 
 
-def meetings(sets: DataFrame, threshold: float, total: int) -> DataFrame:
-    """(sid, gid): the other groups that have one of a set's first n-grams, from sets (sid, gid, m, grams), if they have lesser sids of fitting size."""
+def meetings(sets: DataFrame, places: DataFrame, threshold: float, count: int, total: int) -> DataFrame:
+    """(sid, gid): the other groups that have one of a set's first n-grams, from sets (sid, gid, m, grams) and as many places (sid, gid, m), if they have lesser sids of fitting size."""
     bits = _bits(total)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,9 +349,9 @@ def meetings(sets: DataFrame, threshold: float, total: int) -> DataFrame:
 
     rows = _by_key(sets.select("sid", "gid", "m", "grams").mapInArrow(spread, "bucket int, sids binary, counts binary, gids binary, grams binary"), "bucket", across, "token bigint, sid bigint, gid bigint")
     rows = persist_shared(rows)
-    spans = sets.groupBy("gid").agg(F.min("sid").alias("least"), F.min("m").alias("m_low"), F.max("m").alias("m_high"))
-    others = rows.select("token", "gid").distinct().join(spans, "gid")
-    asking = rows.withColumnRenamed("gid", "own").join(sets.select("sid", "m"), "sid")
+    spans = places.groupBy("gid").agg(F.min("sid").alias("least"), F.min("m").alias("m_low"), F.max("m").alias("m_high"))
+    others = rows.select("token", "gid").distinct().join(_few(spans, count, 32), "gid")
+    asking = rows.withColumnRenamed("gid", "own").join(_few(places.select("sid", "m"), count, 24), "sid")
     fits = (F.col("gid") != F.col("own")) & (F.col("least") < F.col("sid")) & (F.col("m_high") >= F.col("m") * threshold) & (F.col("m_low") * threshold <= F.col("m"))
     return asking.join(others, "token").where(fits).select("sid", "gid").distinct()
 
@@ -459,48 +461,68 @@ def _pair_rows(group: _Members, queries: pa.Table, q: np.ndarray, i: np.ndarray,
     yield pa.RecordBatch.from_arrays([pa.array(group.rows.column("sid").to_numpy()[i]), pa.array(queries.column("sid").to_numpy()[q]), pa.array(j)], ["a", "b", "jaccard"])
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least that each number below n hangs together with over edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def _sums(group: _Members, queries: pa.Table, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(sid, links, root) of each set in pairs: partners' documents, and the least set that it hangs together with here."""
     sids = np.concatenate([group.rows.column("sid").to_numpy()[i], queries.column("sid").to_numpy()[q]])
     weight = np.concatenate([queries.column("copies").to_numpy()[q], group.rows.column("copies").to_numpy()[i]])
     names, at = np.unique(sids, return_inverse=True)
     a, b = at[: len(i)], at[len(i) :]
-    root = np.arange(len(names))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    root = _roots(a, b, len(names))
     links = np.zeros(len(names), np.int64)
     np.add.at(links, at, weight)
     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(links), pa.array(names[root])], ["sid", "links", "root"])
 
 
-def _grouped(docs: DataFrame, marked: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """Sets (sid, m, rep, copies), and rows for `_opened`, or none if no set can have a partner."""
+def _grouped(docs: DataFrame, marked: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame | None, int]:
+    """Sets (sid, m, rep, copies), and rows for `_opened`, or none if no set can have a partner; how many sets can at most."""
     known = marked.where("sid is not null").select("sid", "m", "doc_id").distinct()
     info = persist_shared(known.groupBy("sid").agg(F.max("m").alias("m"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = info.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    likely = persist_shared(info.join(sharing(docs, n, total), "sid").where(F.col("shared") >= _least(threshold, F.col("m"))).select("sid", "rep", "m"))
-    total = likely.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    likely = persist_shared(info.join(sharing(docs, n, total), "sid").where(F.col("shared") >= _least(threshold, F.col("m"))).select("sid", "rep", "m", "copies"))
+    total, count = likely.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
     if not total:
-        return info, None
-    sets = persist_shared(shared_sets(docs, likely, n, threshold, total))
-    places = _small(groups(sets).join(info.select("sid", "copies"), "sid"), 32)
-    sets = sets.drop("low").join(places, "sid")
-    met = meetings(sets, threshold, total)
+        return info, None, 0
+    sets = persist_shared(shared_sets(docs, _few(likely.select(F.col("rep").alias("doc_id"), "sid"), count, 24), n, threshold, total))
+    places = persist_shared(groups(sets, count, total).join(_few(likely.select("sid", "copies"), count, 24), "sid"))
+    sets = sets.drop("low", "m").join(_few(places, count, 40), "sid")
+    met = meetings(sets, places, threshold, count, total)
     columns = ["gid", "role", "sid", "m", "copies", "grams"]
     members = sets.withColumn("role", F.lit(MEMBER)).select(columns)
-    return info, members.unionByName(sets.drop("gid").join(met, "sid").withColumn("role", F.lit(ASKER)).select(columns))
+    return info, members.unionByName(sets.drop("gid").join(met, "sid").withColumn("role", F.lit(ASKER)).select(columns)), count
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of all edges (u, v) together."""
+    ends = [np.zeros((2, 0), np.int64), *(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches)]
+    ids, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = _roots(a, b, len(ids))
+    under = root != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[under]), pa.array(ids[root[under]])], ["id", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the least id that can be reached over edges (a, b), for ids that have a lesser one; large-star and small-star steps until nothing changes."""
+    """(id, root): the least id that can be reached over edges (a, b), for ids that have a lesser one.
+
+    Edges of at most BROADCAST_BYTES go to one task; of more, large-star and small-star steps until nothing changes.
+    """
     e = persist_shared(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if e.count() * 16 <= BROADCAST_BYTES:
+        return e.coalesce(1).mapInArrow(_rooted, "id bigint, root bigint")
     before = None
     while True:
         both = e.union(e.select("v", "u"))
@@ -518,15 +540,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _set_classes(docs: DataFrame, marked: DataFrame, n: int, threshold: float) -> DataFrame:
     """(sid, class_id, links) of each set: the least document of its class, and other documents with this set or a partner."""
-    info, rows = _grouped(docs, marked, n, threshold)
+    info, rows, count = _grouped(docs, marked, n, threshold)
     if rows is None:
         return info.select("sid", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("links"))
     sums = persist_shared(_opened(rows, threshold, _sums, "sid bigint, links bigint, root bigint"))
     roots = components(sums.select(F.col("sid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "sid"})
-    near = persist_shared(sums.groupBy("sid").agg(F.sum("links").alias("near")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    least = near.join(info, "sid").groupBy("root").agg(F.min("rep").alias("class_id"))
-    near = persist_shared(near.join(least, "root").select("sid", "near", "class_id"))
-    return info.join(near, "sid", "left").select("sid", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    near = persist_shared(sums.groupBy("sid").agg(F.sum("links").alias("near")).join(_few(roots, count, 24), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    least = info.join(_few(near, count, 32), "sid").groupBy("root").agg(F.min("rep").alias("class_id"))
+    near = persist_shared(near.join(_few(least, count, 24), "root").select("sid", "near", "class_id"))
+    return info.join(_few(near, count, 32), "sid", "left").select("sid", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -548,7 +570,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     sets, the greatest index counts.
     """
     marked = persist_shared(marks(docs, n))
-    info, rows = _grouped(docs, marked, n, threshold)
+    info, rows, _ = _grouped(docs, marked, n, threshold)
     copies = marked.join(info.where("copies > 1").select("sid", "rep"), "sid").where("rep < doc_id").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     if rows is not None:
         named = info.select("sid", "rep")

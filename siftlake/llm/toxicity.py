@@ -100,9 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, steps: int
     share = max(1, -(-labels.count() // rows))
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).join(docs.select("doc_id", F.lower(clean_text("text")).alias("text")), "doc_id").select("toxic", "text").limit(2 * rows).toArrow()
     y = taken.column("toxic").to_numpy().astype(int) > 0
-    xs: list[np.ndarray] = []
-    for chunk in taken.column("text").chunks:
-        xs += [x for _, x in features(chunk)]
+    xs = [x for chunk in taken.column("text").chunks for _, x in features(chunk)]
+    del taken
+    pa.default_memory_pool().release_unused()  # the driver outlives the training rows
     count = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
     for x, t in zip(xs, y):
         count[int(t)][x] += 1

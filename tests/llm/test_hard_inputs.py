@@ -64,6 +64,48 @@ def test_classes_equal_brute_force(spark, monkeypatch, threshold, seed, group, f
     assert got == classes_truth(texts, ids, threshold)
 
 
+@pytest.mark.parametrize("seed,group", [(5, 1024), (6, 2)])
+def test_classes_without_broadcasts_equal_brute_force(spark, monkeypatch, seed, group):
+    """What is too many rows for a broadcast or for one task takes joins and steps instead."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    texts = copies(seed)
+    got = sorted((r.doc_id, r.class_id, r.links) for r in ngram_join.classes(frame(spark, texts)).collect())
+    assert got == classes_truth(texts, range(len(texts)), 0.5)
+
+
+@pytest.mark.parametrize("most", [0, 8 << 20])
+def test_components_of_random_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", most)
+    rng = random.Random(9)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(300)]
+    edges = [tuple(rng.sample(ids, 2)) for _ in range(160)] + list(zip(ids[:40], ids[1:41])) + [(ids[0], ids[0])]
+    least = {i: i for e in edges for i in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = sorted((r.id, r.root) for r in ngram_join.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert got == sorted((i, x) for i, x in least.items() if i != x)
+
+
+def test_the_join_has_few_exchanges(spark):
+    """The driver keeps a thread for each exchange and broadcast of the last minute, which is memory that a small input takes too."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(k).executionId() for k in range(found.size())}
+
+    before = executions()
+    assert ngram_join.keep_one(frame(spark, copies(5))).count()
+    names = []
+    for x in executions() - before:
+        nodes = store.planGraph(x).allNodes()
+        names += [nodes.apply(k).name() for k in range(nodes.size())]
+    assert 0 < sum(n in ("Exchange", "BroadcastExchange") for n in names) <= 70
+
+
 def test_pairs_at_the_threshold_in_long_sets_are_found(spark):
     """Index just over 0.5 in sets of hundreds of n-grams, of which a few smallest hashes would miss some."""
     rng = random.Random(77)
