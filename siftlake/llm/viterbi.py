@@ -5,7 +5,8 @@ begins later reaches further back. When all surviving backpointer paths meet in
 the backpointers before it go. Only while two paths stay apart do backpointers stay, at 8 bytes a character; whether paths have met is looked for
 when their number has doubled, so time is linear in the text, whatever it is. Places that no piece of the vocabulary straddles (such as the one before a word mark, or around a
 character that only single-character pieces have) are such boundaries for any text: texts are cut there first and the
-parts' ids are remembered by each worker, in a store of bounded size.
+parts' ids are remembered by each worker, in a store of bounded size. Short parts of many texts that aren't remembered go through the same steps
+together, with the pieces in a trie of arrays; long ones are streamed one at a time.
 
 The result is the segmentation with the highest sum of the model's piece scores (the public model file says BPE: merging
 pairs gives other ids, but both decode to the same text). Among equal sums the one wins whose last piece starts first. Characters that no piece covers become their bytes' pieces; if the model has
@@ -19,23 +20,28 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from heapq import heapify, heappop, heapreplace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import clean_text, map_rows
+from .textkit import clean_text, map_rows, slices
 
 MARK = "▁"
 #: Parts of texts in a generation of what a worker remembers; it has two.
 REMEMBER = 150_000
-#: Longest part that is remembered.
+#: Longest part that is remembered, and encoded together with others.
 REMEMBER_CHARS = 64
+#: UTF-8 bytes of texts that are encoded at once; a longer text is taken in windows of so many characters.
+TOGETHER = 1 << 20
 SCHEMA = "doc_id bigint, n_ids int, ids array<int>, exact boolean"
 
 
@@ -45,22 +51,85 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Parts(dict):
-    """Ids of parts, as bytes of 32-bit integers; computed when they are first asked for. What a full generation had stays for another one."""
+class _Parts:
+    """Ids of parts, as bytes of 32-bit integers. What a full generation had stays for another one."""
 
     def __init__(self, codec: Codec) -> None:
-        self.codec, self.old = codec, {}
+        self.codec = codec
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.young)
+
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts, given as their parts."""
+        distinct = set().union(*texts)
+        unseen = distinct.difference(self.young)
+        if len(self.young) + len(unseen) > REMEMBER:
+            self.old, self.young, unseen = self.young, {}, distinct
+        new = list(unseen.difference(self.old))
+        for part in unseen.difference(new):
+            self.young[part] = self.old[part]
+        short = [part for part in new if len(part) <= REMEMBER_CHARS]
+        self.young.update(zip(short, self.codec.together(short)))
+        long = {part: self.codec.alone(part) for part in new if len(part) > REMEMBER_CHARS} if len(short) < len(new) else {}
+        self.young.update(long)
+        out = [b"".join(map(self.young.__getitem__, parts)) for parts in texts]
+        for part in long:
+            del self.young[part]
+        if len(self.young) > REMEMBER:
+            self.young = {}
+        return out
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            ids = np.fromiter(self.codec.stream(part), np.int32).tobytes()
-        if len(part) <= REMEMBER_CHARS:
-            if len(self) >= REMEMBER:
-                self.old = dict(self)
-                self.clear()
-            self[part] = ids
-        return ids
+
+@dataclass
+class _Trie:
+    """The child of `slot` by a character is base[slot] + its code, if owner has slot there. The root's slot is 0, its base too; code 0 is for characters that no piece has."""
+
+    code: np.ndarray
+    base: np.ndarray
+    owner: np.ndarray
+    piece: np.ndarray  # ids; -2 where no piece ends
+    score: np.ndarray
+
+    @classmethod
+    def of(cls, starts: dict[str, tuple[int, float] | None]) -> _Trie:
+        code = {c: k for k, (c, _) in enumerate(Counter(p[-1] for p in starts).most_common(), 1)}
+        children: dict[str, list[int]] = {"": []}
+        for p in starts:
+            children.setdefault(p[:-1], []).append(code[p[-1]])
+        used, at, base = bytearray(len(code) + 1), 1, {"": 0}
+        for k in (0, *children.pop("")):
+            used[k] = 1
+        for p, codes in sorted(children.items(), key=lambda x: -len(x[1])):  # only children fill the gaps that the others leave
+            first, *more = sorted(codes)
+            slot = max(at, first + 1) - 1 if more else first
+            while True:
+                slot = used.find(0, slot + 1)
+                if slot < 0 or slot + max(codes) - first >= len(used):
+                    slot = len(used) - 1 if slot < 0 else slot - 1
+                    used += bytes(len(used) + max(codes))
+                    continue
+                for k in more:
+                    if used[slot - first + k]:
+                        break
+                else:
+                    break
+            base[p], at = slot - first, slot if more else at
+            for k in codes:
+                used[base[p] + k] = 1
+        slots = {p: base[p[:-1]] + code[p[-1]] for p in starts}
+        size = max(slots.values(), default=0) + len(code) + 1
+        out = cls(np.zeros(0x110000, np.uint16 if len(code) < 1 << 16 else np.int32), np.zeros(size, np.int64), np.full(size, -1), np.full(size, -2, np.int32), np.full(size, -np.inf))
+        for c, k in code.items():
+            out.code[ord(c)] = k
+        for p, slot in slots.items():
+            out.owner[slot] = slots.get(p[:-1], 0)
+            out.base[slot] = base.get(p, 0)
+            if starts[p] is not None:
+                out.piece[slot], out.score[slot] = starts[p]
+        return out
 
 
 @dataclass
@@ -98,6 +167,10 @@ class Codec:
             text[i] = bytes([b])
         return cls(pieces, [found[b] for b in range(256)] if len(found) == 256 else [], sp.unk_id(), text)
 
+    @cached_property
+    def trie(self) -> _Trie:
+        return _Trie.of(self.starts)
+
     @cached_property
     def cuts(self) -> re.Pattern:
         """Matches parts of a text; no piece straddles the places between them."""
@@ -175,8 +248,89 @@ class Codec:
             end = start
         return out[::-1]
 
+    def alone(self, part: str) -> bytes:
+        return np.fromiter(self.stream(part), np.int32).tobytes()
+
+    def together(self, parts: list[str]) -> list[bytes]:
+        """As alone() for each, by the same sums and comparisons in the same order, but each step takes all parts at once."""
+        if not parts:
+            return []
+        trie, no = self.trie, -1e300
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(-size, kind="stable")
+        first, size = (np.cumsum(size) - size)[order], size[order]
+        codes = trie.code[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        longest = int(size[0])
+        wide = np.searchsorted(-size, -np.arange(longest + 1), side="right")  # the longest parts come first: so many have k characters
+        char = [codes[first[:w] + k].astype(np.int64) for k, w in enumerate(wide[1:])]
+        rows = np.cumsum(wide) - wide
+        begin, piece = np.zeros(int(wide.sum()), np.int16), np.full(int(wide.sum()), -2, np.int32)
+        score = [np.zeros(len(parts))] + [np.full(w, no) for w in wide[1:]]
+        top = trie.owner[: int(trie.code.max()) + 1] == 0  # by code: some piece begins with it
+        one = np.where(top & (trie.piece[: len(top)] >= 0), trie.piece[: len(top)], -2)
+        one_score = np.where(one >= 0, trie.score[: len(top)], self.bad)
+        for i in range(longest):
+            slot, w = char[i], wide[i + 1]
+            here = score[i][:w]
+            s = here + one_score[slot]
+            better = np.flatnonzero(s > score[i + 1])
+            score[i + 1][better] = s[better]
+            begin[rows[i + 1] + better], piece[rows[i + 1] + better] = i, one[slot[better]]
+            which = np.flatnonzero(top[slot])
+            slot, here = slot[which], here[which]
+            for end in range(i + 2, longest + 1):
+                n = np.searchsorted(which, wide[end])
+                which, slot, here = which[:n], slot[:n], here[:n]
+                child = trie.base[slot] + char[end - 1][which]
+                there = np.flatnonzero(trie.owner[child] == slot)
+                if not len(there):
+                    break
+                which, slot, here = which[there], child[there], here[there]
+                s = here + trie.score[slot]
+                better = np.flatnonzero(s > score[end][which])
+                if len(better):
+                    at = which[better]
+                    score[end][at] = s[better]
+                    begin[rows[end] + at], piece[rows[end] + at] = i, trie.piece[slot[better]]
+        at, left, steps = size.copy(), np.arange(len(parts)), []
+        n = np.zeros(len(parts), np.int64)
+        while len(left):
+            k = rows[at[left]] + left
+            steps.append((left, piece[k]))
+            n[order[left]] += 1
+            at[left] = begin[k]
+            left = left[at[left] > 0]
+        ends = np.cumsum(n)
+        ids = np.empty(int(ends[-1]), np.int32)
+        for k, (left, found) in enumerate(steps, 1):
+            ids[ends[order[left]] - k] = found
+        raw = ids.tobytes()
+        out = [raw[a:b] for a, b in pairwise([0, *(4 * ends).tolist()])]
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(ids == -2), side="right")).tolist():  # parts with characters that no piece covers
+            out[k] = self.alone(parts[k])
+        return out
+
+    def windows(self, text: str) -> Iterator[list[str]]:
+        """The parts of a marked text, in runs of at most TOGETHER characters, or one part that is longer."""
+        at, most = 0, TOGETHER
+        while at < len(text):
+            parts, end = self.cuts.findall(text, at, at + most), at + most
+            if end < len(text):  # the last part may go on
+                end -= len(parts.pop())
+            if parts:
+                yield parts
+                at, most = end, TOGETHER
+            else:
+                most *= 2
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.parts.__getitem__, self.cuts.findall(self.marked(text)))), np.int32)
+        return np.frombuffer(b"".join(self.parts.join([w])[0] for w in self.windows(self.marked(text))), np.int32)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that together are of a bounded size, or of one of any size."""
+        if len(texts) == 1:
+            return [self.encode(texts[0])]
+        return [np.frombuffer(ids, np.int32) for ids in self.parts.join([self.cuts.findall(self.marked(t)) for t in texts])]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         out = b"".join(map(self.text.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
@@ -199,10 +353,10 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for a, b in slices(pc.binary_length(batch.column(1)).to_numpy(), TOGETHER):
+            part = batch.slice(a, b - a)
             texts = part.column(1).to_pylist()
-            ids = [c.encode(t) for t in texts]
+            ids = c.encode_all(texts)
             same = [c.decode(x) == (t.replace(MARK, " ") if MARK in t else t) for x, t in zip(ids, texts)]
             n = np.array([len(x) for x in ids], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))

@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -129,3 +130,40 @@ def test_what_a_worker_remembers_does_not_change_ids(monkeypatch):
     codec = viterbi.Codec.load(viterbi.default_model())
     assert [codec.encode(t).tolist() for t in texts] == whole
     assert len(codec.parts) <= 5 and len(codec.parts.old) <= 5
+
+
+# 6: parts that are not remembered are encoded together
+
+
+def test_new_words_are_encoded_together():
+    from siftlake.llm import viterbi
+
+    c = viterbi.Codec.load(viterbi.default_model())
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices(["an", "the", "ñ", "er", "ou", "ß", "keit", "ly", "x", "q", "ción"], k=rng.randrange(2, 7))) for _ in range(40_000))
+    c.encode("warm up")
+    began = time.process_time()
+    ids = c.encode(text).tolist()
+    spent, began = time.process_time() - began, time.process_time()
+    assert ids == [i for part in c.cuts.findall(c.marked(text)) for i in c.stream(part)]
+    assert spent < (time.process_time() - began) / 2
+
+
+def test_parts_together_are_as_each_alone(monkeypatch):
+    from siftlake.llm import viterbi
+
+    rng = random.Random(7)
+    codecs = [viterbi.Codec.load(viterbi.default_model()), viterbi.Codec({}, [], 0, [b""])]
+    for inner in ("", "▁", "\n"):  # few scores, so many sums are equal
+        names = {"".join(rng.choices("abc" + inner, k=rng.randrange(1, 5))) for _ in range(25)} | {"▁", "▁a", "▁▁b"}
+        codecs.append(viterbi.Codec({p: (i, -float(rng.randrange(1, 3))) for i, p in enumerate(sorted(names), 1)}, list(range(100, 356)) if inner else [], 0, []))
+    texts = ["", " ", "\n", "a" * 70, "日本\ud800é", "b" * 63 + "\U0001f600", "Ω" * 80] + ["".join(rng.choices("aaabbc  \né😀", k=rng.randrange(1, 90))) for _ in range(200)]
+    for c in codecs:
+        alone = [list(c.stream(c.marked(t))) for t in texts]
+        assert [x.tolist() for x in c.encode_all(texts)] == alone
+        c.parts = viterbi._Parts(c)
+        with monkeypatch.context() as m:
+            m.setattr(viterbi, "TOGETHER", 7)
+            assert [c.encode(t).tolist() for t in texts] == alone
+        parts = sorted({p for t in texts for p in c.cuts.findall(c.marked(t)) if len(p) <= viterbi.REMEMBER_CHARS})
+        assert c.together(parts) == [c.alone(p) for p in parts]
