@@ -394,7 +394,7 @@ def knn_topk(spark, d):
 @query(f"with recursive {_LEADERS} select leader from final")
 def leader_dedup(spark, d):
     v = vectors(spark, d)
-    return v.join(similarity.leaders(similarity.pairs(v, LOW)), F.col("vec_id") == F.col("item"), "left_anti").select(F.col("vec_id").alias("leader"))
+    return v.join(similarity.duplicates(v, LOW), F.col("vec_id") == F.col("item"), "left_anti").select(F.col("vec_id").alias("leader"))
 
 
 @query(f"""with recursive {_LEADERS}, best as (select b, arg_max(a, (cos, -a)) as leader, max(cos) as cos from p where cos >= {LOW} and a in (select leader from final) and b not in (select leader from final) group by b)
