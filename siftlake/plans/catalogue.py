@@ -400,8 +400,7 @@ def leader_dedup(spark, d):
 @query(f"""with recursive {_LEADERS}, best as (select b, arg_max(a, (cos, -a)) as leader, max(cos) as cos from p where cos >= {LOW} and a in (select leader from final) and b not in (select leader from final) group by b)
 select v.vec_id as item, coalesce(best.leader, v.vec_id) as leader, coalesce(best.cos, 1.0)::double as cos, best.b is not null as is_duplicate from embeddings v left join best on best.b = v.vec_id""")
 def leader_assignment(spark, d):
-    v = vectors(spark, d)
-    return similarity.assignment(v, similarity.pairs(v, LOW))
+    return similarity.nearest_leaders(vectors(spark, d), LOW)
 
 
 @query(f"""with recursive {_LEADERS}, best as (select b, arg_max(a, (cos, -a)) as leader, max(cos) as cos from p where cos >= {LOW} and a in (select leader from final) and b not in (select leader from final) group by b)
